@@ -85,6 +85,18 @@ class Block:
         return sorted(out)
 
 
+def shares_run(doc: np.ndarray, item: np.ndarray, run: int) -> bool:
+    """Whether two id sequences have `run` words in a row in common."""
+    if min(len(doc), len(item)) < run:
+        return False
+    equal = doc[:, None] == item[None, :]
+    rows, cols = equal.shape[0] - run + 1, equal.shape[1] - run + 1
+    along = equal[:rows, :cols].copy()
+    for k in range(1, run):
+        along &= equal[k : k + rows, k : k + cols]
+    return bool(along.any())
+
+
 def longest_run_and_score(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
     """(longest common run of words, Smith-Waterman score) of two id sequences; -1 matches nothing."""
     h = np.zeros(len(item) + 1, np.int64)
@@ -174,7 +186,7 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
                         if p is not None and lo >= 0 and p - len(item) <= hi:
                             hi = p + b.n + len(item)
                             continue
-                        if lo >= 0:
+                        if lo >= 0 and shares_run(ids[lo:hi], item, run):
                             got = longest_run_and_score(ids[lo:hi], item)
                             longest, best = max(longest, got[0]), max(best, got[1])
                         if p is not None:
