@@ -61,6 +61,10 @@ _CONFUSABLE = str.maketrans("аеорсухіјѕԁвнкмтгпԛԝһӏαεο
 _TOKEN = re.compile(r"[^\W_][\w@$*!|€'’.\-]*[\w*]|[^\W_]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:[ .\-_*]{1,2})[^\W\d_](?![^\W_])){2,}")
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:[eE][+-]?\d+)?[a-zA-ZµμΩ°%]{0,5}$")
+#: A number with its unit between blanks and punctuation; `fold` turns it into '#' whatever it is.
+_QUANTITY = re.compile(r"(?<![\w.@$*!|€'’\-+])[+-]?\d+(?:[.,]\d+)*(?:[eE][+-]?\d+)?[a-zA-ZµμΩ]{0,5}(?=[\s,;:)\]]|[.?!]?(?:\s|$))")
+#: Scored sentences a worker remembers.
+KNOWN_SENTENCES = 100_000
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
@@ -158,36 +162,37 @@ def prior_weights(strength: float = 14.0) -> np.ndarray:
     return w
 
 
-def fit(bags: list[list[np.ndarray]], rated: np.ndarray, of_bag: np.ndarray, steps: int = 240, rate: float = 0.25, precision: float = 0.4) -> Model:
-    """Noisy-or training: rated[i] is a 0/1 rating of bag of_bag[i].
+def fit(
+    flat: np.ndarray, lengths: np.ndarray, bag_of_sent: np.ndarray, n_bags: int, rated: np.ndarray, of_bag: np.ndarray,
+    steps: int = 240, rate: float = 0.25, precision: float = 0.4,
+) -> Model:
+    """Noisy-or training on flat arrays: features of all sentences one after the other, the
+    number of features of each, the bag of each; rated[i] is a 0/1 rating of bag of_bag[i].
 
     Minimises the cross entropy of the ratings, seen through the raters' error rates
     (re-estimated while training), plus the squared distance of weights to their prior.
     """
     prior = prior_weights()
     w, bias = prior.copy(), -6.0
-    if not len(rated):
+    if not len(rated) or not len(lengths):
         return Model(w, bias)
-    # equal sentences are stored once
-    index: dict[bytes, int] = {}
-    unique: list[np.ndarray] = []
-    sent_of: list[int] = []
-    bag_start = [0]
-    for bag in bags:
-        for f in bag:
-            f = np.sort(f).astype(np.int32)
-            k = index.setdefault(f.tobytes(), len(unique))
-            if k == len(unique):
-                unique.append(f)
-            sent_of.append(k)
-        bag_start.append(len(sent_of))
-    sent_of_a, starts = np.array(sent_of, np.int64), np.array(bag_start)
-    lengths = np.array([len(f) for f in unique])
-    flat = np.concatenate(unique) if unique else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(unique)), lengths)
+    # equal sentences are kept once, found by a digest of their sorted features
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    with np.errstate(over="ignore"):
+        mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+        digest = np.zeros(len(lengths), np.uint64)
+        np.add.at(digest, row, mixed * mixed)
+    _, first, sent_of = np.unique(digest, return_index=True, return_inverse=True)
+    keep = np.zeros(len(lengths), bool)
+    keep[first] = True
+    new_name = np.cumsum(keep) - 1
+    sent_of = new_name[first][sent_of]
+    chosen = keep[row]
+    flat, row, lengths = flat[chosen], new_name[row[chosen]], lengths[keep]
+    n_sent = len(lengths)
     scale = damping(lengths)
-    cell = scale[row]
-    bag_of_sent = np.repeat(np.arange(len(bags)), np.diff(starts))
+    cell = scale[row].astype(np.float32)
     e0, e1 = 0.05, 0.10  # a clean one rated toxic; a toxic one rated clean
     m = np.zeros_like(w)
     v = np.zeros_like(w)
@@ -195,17 +200,17 @@ def fit(bags: list[list[np.ndarray]], rated: np.ndarray, of_bag: np.ndarray, ste
     n = len(rated)
     decay = precision / n  # a Gaussian prior around the prior terms
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights=w[flat], minlength=len(unique)) * scale + bias
+        z = np.bincount(row, weights=w[flat], minlength=n_sent) * scale + bias
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
         log_clean = np.log1p(-np.minimum(p, 1 - 1e-9))
-        bag_clean = np.exp(np.bincount(bag_of_sent, weights=log_clean[sent_of_a], minlength=len(bags)))
+        bag_clean = np.exp(np.bincount(bag_of_sent, weights=log_clean[sent_of], minlength=n_bags))
         doc = (1 - bag_clean)[of_bag]
         q = (1 - e1) * doc + e0 * (1 - doc)
         q = np.clip(q, 1e-6, 1 - 1e-6)
         slope = (q - rated) / (q * (1 - q)) * (1 - e1 - e0)  # d loss / d doc
-        per_bag = np.bincount(of_bag, weights=slope, minlength=len(bags)) * bag_clean
+        per_bag = np.bincount(of_bag, weights=slope, minlength=n_bags) * bag_clean
         # d doc / d z of a sentence = (product of the others' clean) * p (1 - p) = bag_clean * p
-        per_sent = np.bincount(sent_of_a, weights=per_bag[bag_of_sent], minlength=len(unique)) * p
+        per_sent = np.bincount(sent_of, weights=per_bag[bag_of_sent], minlength=n_sent) * p
         g = np.bincount(flat, weights=per_sent[row] * cell, minlength=len(w)) / n + decay * (w - prior)
         gb = per_sent.sum() / n
         m = 0.9 * m + 0.1 * g
@@ -242,12 +247,15 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
             )
 
     pdf = rows.mapInPandas(bag, "doc_id long, bad long, n long, lengths array<int>, ids array<int>").toPandas().sort_values("doc_id")
-    bags, ratings, of_bag = [], [], []
-    for i, r in enumerate(pdf.itertuples()):
-        bags.append(np.split(np.asarray(r.ids), np.cumsum(r.lengths)[:-1]) if len(r.lengths) else [])
-        ratings += [1] * r.bad + [0] * (r.n - r.bad)
-        of_bag += [i] * r.n
-    return fit(bags, np.array(ratings, float), np.array(of_bag, np.int64))
+    per_bag = np.array([len(x) for x in pdf["lengths"]], np.int64)
+    lengths = np.concatenate([np.empty(0, np.int64), *pdf["lengths"]]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.int32), *pdf["ids"]]).astype(np.int32)
+    bad, n = pdf["bad"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    of_bag = np.repeat(np.arange(len(pdf)), n)
+    rated = np.concatenate([np.empty(0), *[np.r_[np.ones(b), np.zeros(k - b)] for b, k in zip(bad, n, strict=True)]])
+    n_bags = len(pdf)
+    del pdf
+    return fit(flat, lengths, np.repeat(np.arange(n_bags), per_bag), n_bags, rated, of_bag)
 
 
 def score(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
@@ -255,12 +263,23 @@ def score(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFra
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feats = Featurizer()
+        feats, known = Featurizer(), {}
+
+        def posterior(sentence: str) -> float:
+            """Sentences that differ only in numbers have the same features and are scored once."""
+            key = _QUANTITY.sub("0", sentence)
+            p = known.get(key)
+            if p is None:
+                p = float(shared.value.score([feats.sentence(key)])[0])
+                if len(known) < KNOWN_SENTENCES:
+                    known[key] = p
+            return p
+
         for b in batches:
             scores, worst, where, n_bad = [], [], [], []
             for text in b["text"]:
                 sents = sentences(text) if isinstance(text, str) else []
-                p = shared.value.score([feats.sentence(s) for s in sents]) if sents else np.zeros(0)
+                p = np.array([posterior(s) for s in sents])
                 scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
                 worst.append(float(p.max()) if len(p) else 0.0)
                 where.append(sents[int(p.argmax())] if len(p) and p.max() >= cutoff else None)
