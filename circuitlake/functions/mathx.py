@@ -27,7 +27,7 @@ def db20(magnitude: Column, floor: float | None = None) -> Column:
 def significant(x: Column, digits: int = 6) -> Column:
     """Rounded to significant digits; zero stays zero, non-finite gives null (JSON has no such numbers)."""
     text = F.format_string(f"%.{digits - 1}e", x)
-    return F.when(is_finite(x), F.when(x == 0, F.lit(0.0)).otherwise(text.cast("double")))
+    return F.when(is_finite(x), F.when(x == 0, F.lit(0.0)).otherwise(text.try_cast("double")))
 
 
 def unwrap_step(delta: Column) -> Column:

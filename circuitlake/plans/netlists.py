@@ -23,7 +23,7 @@ def instances(spark, d):
 def values(spark, d):
     i = net.instances(_decks(spark, d)).select("deck_id", "line", F.explode("params").alias("p"))
     strict, loose = net.strict_number(F.col("p.v")), net.loose_number(F.col("p.v"))
-    return i.select("deck_id", "line", F.col("p.k").alias("name"), F.format_string("%.6e", strict).cast("double").alias("strict"), F.format_string("%.6e", loose).cast("double").alias("loose"))
+    return i.select("deck_id", "line", F.col("p.k").alias("name"), F.format_string("%.6e", strict).try_cast("double").alias("strict"), F.format_string("%.6e", loose).try_cast("double").alias("loose"))
 
 
 def patched(spark, d):
@@ -103,7 +103,7 @@ SQL = {
 SELECT deck_id, line, name, printf('%.6e', coalesce(nullif(n, '')::DOUBLE * {_SX.format(s="s")}, 0))::DOUBLE AS strict,
   printf('%.6e', coalesce(nullif(h, '')::DOUBLE * {_SC.format(s="substr(lower(v), length(h) + 1)")}, 'nan'::DOUBLE))::DOUBLE AS loose FROM r""",
     "netlist_lint": f"""WITH {_D}, k2 AS (SELECT deck_id, max(text) AS text FROM (SELECT * FROM k UNION ALL SELECT deck_id, text || chr(10) || 'M1 a b 0 0 nch' FROM k) GROUP BY 1),
-  l AS (SELECT deck_id, unnest(range(1, len(ls) + 1)) AS line, trim(unnest(ls)) AS raw FROM (SELECT deck_id, string_split(text, chr(10)) AS ls FROM k2)),
+  l AS (SELECT deck_id, unnest(range(1, len(ls) + 1)) AS line, regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') AS raw FROM (SELECT deck_id, string_split(text, chr(10)) AS ls FROM k2)),
   n AS (SELECT deck_id, line, string_split(regexp_replace(raw, '\\s+', ' ', 'g'), ' ')[1] AS name FROM l WHERE raw <> '' AND NOT regexp_matches(raw, '^[*.]'))
 SELECT deck_id, line, name FROM n QUALIFY row_number() OVER (PARTITION BY deck_id, name ORDER BY line) > 1""",
     "netlist_patched": f"""WITH {_L}, a AS (SELECT deck_id, line, raw FROM l WHERE NOT starts_with(trim(raw), 'C1') UNION ALL SELECT deck_id, 1000000, 'R99 out 0 1k' FROM k)
