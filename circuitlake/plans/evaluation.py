@@ -9,7 +9,7 @@ from circuitlake.runtime import table
 
 
 def _rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _results(spark, d):
@@ -135,7 +135,7 @@ FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC
     "eval_step_rewards": f"""WITH {_TURNS}, u AS (SELECT run, turn AS step, tool, NOT coalesce(observation = 'no convergence', false) AS ok, CASE WHEN json_valid(observation) THEN coalesce(TRY_CAST(json_extract_string(observation, '$.score') AS DOUBLE), 0) ELSE 0 END AS sc,
     CASE WHEN json_valid(observation) THEN coalesce(json_extract_string(observation, '$.passed') = 'true', false) ELSE false END AS passed FROM t WHERE tool IS NOT NULL),
   v AS (SELECT *, -0.005::DOUBLE + CASE WHEN tool LIKE 'sim.%' AND ok THEN 0.02 ELSE 0 END + CASE WHEN tool = 'sim.corners' AND ok THEN 0.05 ELSE 0 END + CASE WHEN tool = 'spec.check' AND ok THEN 0.5 * sc + CASE WHEN passed THEN 1 ELSE 0 END ELSE 0 END AS counted FROM u)
-SELECT run, step, tool, round(counted - CASE WHEN tool LIKE 'sim.%' AND NOT ok THEN 0.1 ELSE 0 END, 9) AS reward, round(sum(counted) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING), 9) AS total FROM v""",
+SELECT run, step, tool, round(counted - CASE WHEN tool LIKE 'sim.%' AND NOT ok THEN 0.1 ELSE 0 END, 9) AS reward, round(sum(counted) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING), 9) + 0 AS total FROM v""",
     "eval_running_best": """WITH r AS (SELECT user_id AS run, event_id AS i, CASE WHEN event_type <> 'error' THEN value ELSE -1e6 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
 SELECT run, i, max(v) OVER (PARTITION BY run ORDER BY i ROWS UNBOUNDED PRECEDING) AS best FROM r WHERE k <= 40""",
     "eval_response_scores": r"""WITH b AS (SELECT DISTINCT id, coalesce(response_preview, '') AS r FROM benchmark), s AS (SELECT *, lower(r) AS l, regexp_replace(r, '^\s+|\s+$', '', 'g') AS t FROM b)

@@ -28,7 +28,7 @@ def _seg(spark, d):
 
 
 def _rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 LEVEL = 15.0
