@@ -60,6 +60,8 @@ _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 _CONFUSABLE = str.maketrans("аеорсухіјѕԁвнкмтгпԛԝһӏαεορυκντι", "aeopcyxijsdbhkmtrnqwhlaeopuknti")
 _TOKEN = re.compile(r"[^\W_][\w@$*!|€'’.\-]*[\w*]|[^\W_]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:[ .\-_*]{1,2})[^\W\d_](?![^\W_])){2,}")
+#: Marked-up words; stars inside a word are a mask, not emphasis.
+_EMPHASIS = re.compile(r"(?<![\w*])(\*{1,3})([^*\s](?:[^*\n]*[^*\s])?)\1(?![\w*])")
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:[eE][+-]?\d+)?[a-zA-ZµμΩ°%]{0,5}$")
 #: A number with its unit between blanks and punctuation; `fold` turns it into '#' whatever it is.
 _QUANTITY = re.compile(r"(?<![\w.@$*!|€'’\-+])[+-]?\d+(?:[.,]\d+)*(?:[eE][+-]?\d+)?[a-zA-ZµμΩ]{0,5}(?=[\s,;:)\]]|[.?!]?(?:\s|$))")
@@ -125,7 +127,7 @@ class Featurizer:
 
     def sentence(self, s: str) -> np.ndarray:
         s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", s))
-        s = re.sub(r"(\*{1,3})(?=\S)([^*\n]*\S)\1", r"\2", s)  # emphasis is no mask
+        s = _EMPHASIS.sub(r"\2", s)
         s = _SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), s)
         ids: set[int] = set()
         before = "^"
