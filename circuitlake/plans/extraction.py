@@ -18,7 +18,7 @@ def extract(spark, d):
     specs = scoring.explode_specs(table(spark, d, "eval_task")).select("task_id", "spec", "unit")
     kinds = table(spark, d, "eval_task").select(F.col("id").alias("task_id"), F.when(F.col("category") == "analog", "v").alias("input"), F.lit("v").alias("output"))
     out = extraction.extract(specs, _metrics(spark, d), kinds)
-    return out.select("task_id", "spec", "metric", F.format_string("%.4e", F.col("value")).try_cast("double").alias("value"), "reason")
+    return out.select("task_id", "spec", "metric", F.format_string("%.8e", F.col("value") * 1.0471975511965976).try_cast("double").alias("value"), "reason")
 
 
 QUERIES = {"extract_specs": extract}
@@ -35,5 +35,5 @@ SQL = {
   g AS (SELECT f.*, scale FROM f LEFT JOIN sc ON sc.family = f.family AND sc.u = f.u),
   r AS (SELECT *, CASE WHEN u IN ('bool', 'bits', 'lsb', 'cycles', 'years', 'um2') THEN 'non_analog_unit' WHEN metric IS NULL THEN 'unknown_spec' WHEN family IS NULL THEN 'no_noise_kind'
      WHEN CASE WHEN dimension = 'gain' THEN u NOT IN ('db', '', 'v/v', 'vv', 'ratio') ELSE scale IS NULL END THEN 'wrong_unit' WHEN si IS NULL THEN coalesce(note, 'not_measured') END AS reason FROM g)
-SELECT task_id, spec, metric, CASE WHEN reason IS NULL THEN printf('%.4e', CASE WHEN dimension = 'gain' THEN CASE WHEN u IN ('db', '') THEN si ELSE pow(10, si / 20) END ELSE si / scale END)::DOUBLE END AS value, reason FROM r"""
+SELECT task_id, spec, metric, CASE WHEN reason IS NULL THEN printf('%.8e', CASE WHEN dimension = 'gain' THEN CASE WHEN u IN ('db', '') THEN si ELSE pow(10, si / 20) END ELSE si / scale END * 1.0471975511965976::DOUBLE)::DOUBLE END AS value, reason FROM r"""
 }
