@@ -105,7 +105,7 @@ QUERIES = {
     "signal_closure": closure,
     "signal_shape": lambda spark, d: _rounded(sig.shape(_seg(spark, d)), 4),
     "signal_summary": lambda spark, d: _rounded(sig.summarize(_wave(spark, d)), 4),
-    "signal_slopes": lambda spark, d: _rounded(sig.slopes(_seg(spark, d)), 9),
+    "signal_slopes": lambda spark, d: _rounded(sig.slopes(_seg(spark, d)).withColumn("slope", F.col("slope") * 1000)),
     "signal_drift": lambda spark, d: _rounded(sig.window_drift(_wave(spark, d))),
     "signal_settling": settling,
     "signal_unwrap": unwrapped,
@@ -133,7 +133,7 @@ SELECT run, round(a, 6) AS first_falling, round(b, 6) AS last_below FROM f FULL
     "signal_summary": f"""WITH {_W}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY y DESC, x) AS hi, row_number() OVER (PARTITION BY run ORDER BY y, x) AS lo FROM w)
 SELECT run, count(*) AS n, round(max(y), 4) AS max, round(max(x) FILTER (hi = 1), 4) AS x_max, round(min(y), 4) AS min, round(max(x) FILTER (lo = 1), 4) AS x_min, round(max(y) - min(y), 4) AS pp,
   round(avg(y), 4) AS avg, round(sqrt(avg(y * y)), 4) AS rms, round(arg_max(y, x), 4) AS last FROM r GROUP BY run""",
-    "signal_slopes": f"WITH {_W} SELECT run, round(x, 9) AS x, round((y1 - y) / (x1 - x), 9) AS slope FROM s WHERE x1 > x",
+    "signal_slopes": f"WITH {_W} SELECT run, round(x, 6) AS x, round((y1 - y) / (x1 - x) * 1000, 6) AS slope FROM s WHERE x1 > x",
     "signal_drift": f"WITH {_W}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY x, y) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM w) SELECT run, round(CASE WHEN count(*) >= 2 THEN abs(avg(y) FILTER (i >= n // 2) - avg(y) FILTER (i < n // 2)) END, 6) AS drift FROM r GROUP BY run",
     "signal_settling": f"WITH {_V}, l AS (SELECT run, max(x) FILTER (abs(y) > 20) AS last, min(x) AS x0 FROM v GROUP BY run) SELECT run, round(CASE WHEN count(*) >= 2 THEN min(x) - min(x0) END, 6) AS settling FROM v JOIN l USING (run) WHERE last IS NULL OR x > last GROUP BY run",
     "signal_unwrap": f"""WITH {_V}, p AS (SELECT run, x, ((y * 37) % 360 + 360) % 360 - 180 AS y FROM v), q AS (SELECT *, y - lag(y) OVER o AS d, first_value(y) OVER o AS y0 FROM p WINDOW o AS (PARTITION BY run ORDER BY x))
