@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from circuitlake.functions import deck
+from circuitlake.runtime import cut
 
 #: Order values per window block: bounds the rows of one window group.
 BLOCK = 4096
@@ -54,6 +55,7 @@ def collapse(events: DataFrame, block: int = BLOCK) -> DataFrame:
         .agg(F.min_by(F.struct("key", "ts"), F.struct(F.col("arrived").isNull(), "arrived", F.col("key").isNull(), "key", "ts")).alias("e"))
         .select("seq", F.col("ord").cast("long").alias("ord"), "e.key", "e.ts", F.floor(F.col("ord") / block).alias("blk"))
     )
+    base = cut(base)  # read twice below; keys may come from Python
     w = Window.partitionBy("seq", "blk").orderBy("ord")
     here = F.struct("ord", "key", "ts")
     rows = base.select("*", F.row_number().over(w).alias("rn"), F.lag(here).over(w).alias("prev"))
