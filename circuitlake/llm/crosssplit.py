@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,50 +32,54 @@ COVER = 0.15
 SLACK = 0.10
 EVAL_SPLITS = ("val", "test")
 
-_MASK = (1 << 64) - 1
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def cut_chunks(words: list[str], window: int = 2, least: int = 4, mean: int = 4, most: int = 16) -> list[tuple[int, int]]:
+def cut_chunks(words: list[str], window: int = 2, least: int = 4, mean: int = 4, most: int = 16, hashes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(digest, number of words) of each chunk: a cut falls where the hash of the last
     `window` words divides by `mean`, after `least` and at the latest after `most` words."""
-    hashes = [xxhash.xxh64_intdigest(w) for w in words]
-    out, start = [], 0
-    for i in range(len(words)):
-        n = i - start + 1
-        if n < least:
-            continue
-        r = 0
+    h = rec.word_hashes(words) if hashes is None else hashes
+    n = len(words)
+    with np.errstate(over="ignore"):
+        r = np.zeros(n, np.uint64)
         for k in range(window):
-            r = (r * 0x9E3779B97F4A7C15 + hashes[i - k]) & _MASK
-        r ^= r >> 29
-        r = (r * 0xBF58476D1CE4E5B9) & _MASK
-        if n >= most or (r >> 32) % mean == 0:
-            out.append((xxhash.xxh64_intdigest(" ".join(words[start : i + 1])), n))
-            start = i + 1
-    if start < len(words):
-        out.append((xxhash.xxh64_intdigest(" ".join(words[start:])), len(words) - start))
+            r = r * _ODD
+            r[k:] += h[: n - k]
+        r ^= r >> np.uint64(29)
+        r = (r * _MIX) >> np.uint64(32)
+    marks = np.flatnonzero(r % np.uint64(mean) == 0).tolist()
+    out, start, m = [], 0, 0
+    while start < n:
+        while m < len(marks) and marks[m] < start + least - 1:
+            m += 1
+        last = marks[m] if m < len(marks) else n
+        end = min(last + 1, start + most, n)
+        out.append((xxhash.xxh64_intdigest(" ".join(words[start:end])), end - start))
+        start = end
     return out
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chunks of each content as two arrays, so a content is one compact row."""
     for b in batches:
-        cids, digests, weights, lengths = [], [], [], []
-        for cid, text in zip(b["cid"], b["text"], strict=True):
+        digests, weights, lengths = [], [], []
+        for text in b["text"]:
             ws = rec.words(text)
             total: dict[int, int] = {}
             for digest, n in cut_chunks(ws):
                 total[digest] = total.get(digest, 0) + n
-            cids += [cid] * len(total)
-            digests += [d - (1 << 64) if d >> 63 else d for d in total]
-            weights += total.values()
-            lengths += [len(ws)] * len(total)
-        yield pd.DataFrame({"cid": cids, "digest": pd.Series(digests, dtype="int64"), "weight": weights, "n_words": lengths})
+            digests.append(np.fromiter(total, np.uint64, len(total)).view(np.int64))
+            weights.append(np.fromiter(total.values(), np.int32, len(total)))
+            lengths.append(len(ws))
+        yield pd.DataFrame({"cid": b["cid"], "digests": digests, "weights": weights, "n_words": lengths})
 
 
 def rare_chunks(contents: DataFrame, slack: float = SLACK) -> DataFrame:
     """(cid, digest, weight, n_words): of each content the shared chunks among its rarest
     ones, up to all but `slack` of its length."""
-    rows = cut(contents.mapInPandas(_chunk_rows, "cid string, digest long, weight int, n_words int"))
+    packed = cut(contents.mapInPandas(_chunk_rows, "cid long, digests array<long>, weights array<int>, n_words int"))
+    rows = packed.select("cid", "n_words", F.explode(F.arrays_zip("digests", "weights")).alias("c")).select("cid", "n_words", "c.digests", "c.weights")
+    rows = rows.toDF("cid", "n_words", "digest", "weight")
     holders = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     shared = rows.join(holders, "digest")
     # chunks nobody else has are the rarest and come first
@@ -103,7 +108,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     sides = everyone.groupBy("cid").agg(
         F.min("id").alias("id"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")
     )
-    sides = cut(sides)
+    sides = rec.numbered(sides)
+    everyone = everyone.withColumnRenamed("cid", "digest").join(sides.select("digest", "cid"), "digest")
     contents = rec.texts(records, sides.select("cid", "id"))
     candidates = cut(overlapping_contents(contents, sides.select("cid", "in_train", "in_eval")))
     touched = candidates.select(F.col("a").alias("cid")).union(candidates.select(F.col("b").alias("cid"))).distinct()

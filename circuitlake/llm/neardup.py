@@ -45,27 +45,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _occurrences(grams: np.ndarray) -> np.ndarray:
+    """How often each k-mer came before."""
+    order = np.argsort(grams, kind="stable")
+    ordered = grams[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
+    out = np.empty(len(grams), np.uint64)
+    out[order] = np.arange(len(grams)) - starts
+    return out
+
+
 def sketches(words: list[str], k: int = KMER, pick: int = PICK) -> np.ndarray:
     """One 64-bit digest per hash function: the picked k-mers in text order.
 
     Texts shorter than k words are one k-mer; a text with fewer than `pick` k-mers
     keeps what it has.
     """
-    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    seen: dict[str, int] = {}
-    labelled = np.empty(len(grams), np.uint64)
-    plain = np.empty(len(grams), np.uint64)
-    for i, g in enumerate(grams):
-        n = seen[g] = seen.get(g, -1) + 1
-        plain[i] = xxhash.xxh64_intdigest(g)
-        labelled[i] = xxhash.xxh64_intdigest(g, n + 1)
-    take = min(pick, len(grams))
+    h = rec.word_hashes(words)
     with np.errstate(over="ignore"):
-        ranks = _mix(labelled[None, :] ^ _SEEDS[:, None])
-        if take < len(grams):
-            chosen = np.argpartition(ranks, take - 1, axis=1)[:, :take]
-        else:
-            chosen = np.tile(np.arange(len(grams)), (SKETCHES, 1))
+        n = max(1, len(h) - k + 1)
+        plain = np.zeros(n, np.uint64)
+        for i in range(min(k, len(h))):
+            plain = _mix(plain + h[i : i + n])
+        labelled = _mix(plain ^ (_occurrences(plain) * _U(0x9E3779B97F4A7C15)))
+        take = min(pick, n)
+        chosen = np.empty((SKETCHES, take), np.int64)
+        for at in range(0, SKETCHES, 8):  # keeps the rank table of long texts small
+            ranks = _mix(labelled[None, :] ^ _SEEDS[at : at + 8, None])
+            rows = np.arange(len(ranks))
+            for c in range(take):
+                best = ranks.argmin(1)
+                chosen[at : at + 8, c] = best
+                ranks[rows, best] = _U(0xFFFFFFFFFFFFFFFF)
         chosen.sort(axis=1)  # text order
         digest = _SEEDS.copy()
         for c in range(take):
@@ -74,12 +86,9 @@ def sketches(words: list[str], k: int = KMER, pick: int = PICK) -> np.ndarray:
 
 
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One compact row per content."""
     for b in batches:
-        for at in range(0, len(b), 256):
-            part = b.iloc[at : at + 256]
-            got = [sketches(rec.words(t)) for t in part["text"]]
-            if got:
-                yield pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), SKETCHES), "sketch": np.concatenate(got)})
+        yield pd.DataFrame({"cid": b["cid"], "sketches": [sketches(rec.words(t)) for t in b["text"]]})
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -96,7 +105,8 @@ def _touched(records: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame
 def links(records: DataFrame, reps: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(a, b) with a < b: verified links between contents; enough of them inside large
     buckets to connect what is connected."""
-    rows = rec.texts(records, reps).mapInPandas(_sketch_rows, "cid string, sketch long").distinct()
+    packed = cut(rec.texts(records, reps).mapInPandas(_sketch_rows, "cid long, sketches array<long>"))
+    rows = packed.select("cid", F.explode("sketches").alias("sketch"))
     sizes = rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = cut(rows.join(sizes, "sketch"))
 
@@ -132,7 +142,7 @@ def groups(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(group_id, id, n_links): each record with a near relative; group_id is the smallest
     id of its group, n_links the verified links of its content."""
     everyone = rec.members(records)
-    reps = cut(everyone.groupBy("cid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    reps = rec.numbered(everyone.groupBy("cid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     near = cut(links(records, reps.select("cid", "id"), all_pairs))
     roots = connected_components(near)
     degree = near.select(F.col("a").alias("cid")).union(near.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
@@ -140,7 +150,8 @@ def groups(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     kept = kept.withColumn("root", F.coalesce("root", "cid")).join(degree, "cid", "left")
     names = kept.groupBy("root").agg(F.min("id").alias("group_id"))
     named = kept.join(names, "root").select("cid", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return everyone.select("id", "cid").join(named, "cid").select("group_id", "id", "n_links")
+    named = named.join(reps.select("cid", "digest"), "cid")
+    return everyone.select("id", F.col("cid").alias("digest")).join(named, "digest").select("group_id", "id", "n_links")
 
 
 def found(records: DataFrame) -> DataFrame:

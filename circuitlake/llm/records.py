@@ -18,7 +18,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,22 @@ OVERLAP = 0.8
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    if "İ" in text:  # the only letter whose lower case is no single letter
+        return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
+
+
+_KNOWN: dict[str, int] = {}
+
+
+def word_hashes(ws: list[str]) -> np.ndarray:
+    """64-bit hashes of words; a worker remembers a bounded number of them."""
+    if len(_KNOWN) > 500_000:
+        _KNOWN.clear()
+    for w in ws:
+        if w not in _KNOWN:
+            _KNOWN[w] = xxhash.xxh64_intdigest(w)
+    return np.array([_KNOWN[w] for w in ws], np.uint64)
 
 
 def conversation(messages: str = "messages") -> Column:
@@ -56,6 +73,12 @@ def members(records: DataFrame) -> DataFrame:
     return cut(rows.select("id", "r.split", "r.source", "r.cid", "r.n_words"))
 
 
+def numbered(contents: DataFrame) -> DataFrame:
+    """Contents with a short number as `cid` and the digest of their bag as `digest`; materialised,
+    so the numbers stay."""
+    return cut(contents.withColumnRenamed("cid", "digest").withColumn("cid", F.monotonically_increasing_id()))
+
+
 def texts(records: DataFrame, reps: DataFrame) -> DataFrame:
     """(cid, text) of the representatives (cid, id)."""
     rows = records.filter("id is not null").select("id", F.coalesce(conversation(), F.lit("")).alias("text"))
@@ -111,4 +134,4 @@ def verified(pairs: DataFrame, contents: DataFrame, threshold: float = OVERLAP,
     one = contents.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     two = contents.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return rows.mapInPandas(check, "a string, b string, overlap double, aligned double")
+    return rows.mapInPandas(check, "a long, b long, overlap double, aligned double")
