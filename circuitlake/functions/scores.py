@@ -29,7 +29,7 @@ def log_distance_target(actual: Column, target: Column) -> Column:
     return (
         F.when(target == 0, F.when(actual == 0, 1.0).otherwise(-1.0))
         .when(actual <= 0, -1.0)
-        .otherwise(_clip(1.0 - F.least(F.lit(2.0), F.abs(F.log2(ratio)) / 0.1)))
+        .when(ratio.isNotNull(), _clip(1.0 - F.least(F.lit(2.0), F.abs(F.log2(ratio)) / 0.1)))
     )
 
 

@@ -29,7 +29,7 @@ from circuitlake.runtime import small
 MAX_DIMENSION_ROWS = 50_000
 
 _NUMBER = r"[-+]?(?:\d+(?:[.,]\d+)*|[.,]\d+)(?:[eE][-+]?\d+)?"
-_END = r"(?=\s*(?:$|\bok\b|\bat\s|\(|;|,\s))"
+_END = r"(?=\s*(?:$|\bok\b|\bat\s|;|,\s)|\s+\()"
 
 # Ways a text states the unit of the reading itself, most explicit first.
 _STATED = [

@@ -1,6 +1,7 @@
 """Canonical decks and netlist perturbations."""
 
 import hypothesis.strategies as st
+import pytest
 from hypothesis import given, settings
 
 from circuitlake.functions import deck
@@ -59,7 +60,7 @@ def test_format_and_parse_numbers(spark):
 
     rows = spark.createDataFrame([("10u",), ("2meg",), ("1.8V",), ("abc",), (None,), ("5x",)], "t string")
     got = [(r.a, r.b) for r in rows.select(net.strict_number(F.col("t")).alias("a"), net.loose_number(F.col("t")).alias("b")).collect()]
-    assert got[0] == (1e-5, 1e-5) and got[1][0] == 2e6 and got[2] == (1.8, 1.8) and got[3][0] == 0.0 and got[3][1] != got[3][1] and got[4][1] is None and got[5] == (5e6, 5.0)
+    assert got[0] == pytest.approx((1e-5, 1e-5)) and got[1][0] == 2e6 and got[2] == (1.8, 1.8) and got[3][0] == 0.0 and got[3][1] != got[3][1] and got[4][1] is None and got[5] == (5e6, 5.0)
 
 
 def test_branch_values_and_supply(spark):

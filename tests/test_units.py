@@ -38,7 +38,7 @@ def test_prior_decides_between_farad_and_fahrenheit():
     [
         ("idd = 1,5 uA", "idd", 1.5, "uA"), ("result IDD 2.5e+02 nA ok", "idd", 250.0, "nA"), ("idd=-3 pA (step 651.787 us)", "idd", -3.0, "pA"),
         ("VDD 0.2 V -> vout: 47.2 mV", "vout", 47.2, "mV"), ("vout(typ) read 0.89 V at fs, step 453 us", "vout", 0.89, "V"),
-        ("with chuck 53C, tone 670 kHz: power -0.18 dB(mW)", "power", -0.18, "dB(mW)"), ("unit=ns", "ugb", None, "ns"), ("scale: uA at ff", "idd", None, "uA"),
+        ("with chuck 53C, tone 670 kHz: power -0.18 dB(mW)", "power", -0.18, "dB(mW)"), ("unit=ns", "ugb", None, "ns"), ("input_noise_density = 1.5 uV/sqrt(Hz)", "input_noise_density", 1.5, "uV/sqrt(Hz)"), ("power=2 dB(mW) (VDD 3 V)", "power", 2.0, "dB(mW)"), ("scale: uA at ff", "idd", None, "uA"),
         ("[kHz] VDD 386 mV", "ugb", None, "kHz"), ("load 725 nA; reading is pF", "cload", None, "pF"), ("ugb(worst) / MHz, chuck 19C", "ugb", None, "MHz"),
         ("checked by hand", "idd", None, None), ("idd ok", "idd", None, None), ("", "idd", None, None),
     ],
