@@ -27,9 +27,9 @@ from circuitlake.llm import records as rec
 from circuitlake.runtime import cut
 
 #: Share of the longer record that shared chunks must cover before a pair is verified.
-COVER = 0.15
+COVER = 0.10
 #: Share of a record, its most common chunks, that need not be joined.
-SLACK = 0.10
+SLACK = 0.06
 EVAL_SPLITS = ("val", "test")
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
