@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from circuitlake.functions import mathx
 
@@ -235,12 +234,10 @@ def step_errors(steps: DataFrame) -> DataFrame:
 
     bad_role; tool_without_result; call_by_other (a call that is not the assistant's);
     bad_call (a call without name or arguments); early_tool (a tool step before any
-    assistant step of the run). The running maximum needs one sorted pass per run; runs
-    are bounded episodes.
+    assistant step of the run, found by the run's first assistant step, not by a sort).
     """
-    w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.max(F.coalesce(F.col("role") == "assistant", F.lit(False))).over(w)
-    rows = steps.withColumn("seen", seen)
+    first = steps.filter("role = 'assistant'").groupBy("run_id").agg(F.min("step").alias("first"))
+    rows = steps.join(first, "run_id", "left").withColumn("seen", F.coalesce(F.col("step") >= F.col("first"), F.lit(False)))
     errors = F.array_compact(
         F.array(
             F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "bad_role"),

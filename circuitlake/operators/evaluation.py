@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from circuitlake.operators import ordered
+from circuitlake.runtime import bounded_rows
+
+#: Steps or trials in one window group; windows by whole run are left to episodes, whose length is bounded.
+BLOCK = 4096
+
 
 def metrics(results: DataFrame, by: str) -> DataFrame:
     """Per run of results (run, passed, score, steps, seconds, error): pass rate, means, spread.
@@ -155,19 +161,18 @@ def step_rewards(steps: DataFrame, step_penalty: float = 0.005) -> DataFrame:
         + F.when((F.col("tool") == "sim.corners") & F.col("ok"), 0.05).otherwise(0.0)
         + F.when((F.col("tool") == "spec.check") & F.col("ok"), 0.5 * F.coalesce("score", F.lit(0.0)) + F.when(F.coalesce("passed", F.lit(False)), 1.0).otherwise(0.0)).otherwise(0.0)
     )
-    w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = steps.withColumn("counted", counted)
+    rows = ordered.with_running(steps.withColumn("counted", counted), "run", ["step"], F.floor(F.col("step") / BLOCK), "counted", "total")
     reward = F.col("counted") - F.when(sim & ~F.col("ok"), 0.1).otherwise(0.0)
-    return rows.select("run", "step", "tool", reward.alias("reward"), F.sum("counted").over(w).alias("total"))
+    return rows.select("run", "step", "tool", reward.alias("reward"), "total")
 
 
 def running_best(trials: DataFrame, cap: int) -> DataFrame:
     """Best score so far of trials (run, i, score) up to `cap` trials a run; a failed trial (null
     score) counts -1e6, NaN minus infinity. The cap is the optimiser's evaluation budget."""
     value = F.when(F.col("score").isNull(), F.lit(-1e6)).when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
-    w = Window.partitionBy("run").orderBy("i")
-    rows = trials.withColumn("rank", F.row_number().over(w)).withColumn("value", value).filter(F.col("rank") <= cap)
-    return rows.select("run", "i", F.max("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("best"))
+    block = F.floor(F.col("i") / BLOCK)
+    rows = ordered.with_rank(trials.withColumn("value", value), "run", ["i"], block).filter(F.col("_rank") <= cap)
+    return ordered.with_running(rows, "run", ["i"], block, "value", "best", "max").select("run", "i", "best")
 
 
 def training_hours(episodes: Column, generations: Column, workers: Column, seconds_per_sim: float = 3.0, sims: int = 15) -> Column:
@@ -201,7 +206,7 @@ def html_report(results: DataFrame) -> str:
     from html import escape
 
     lines = []
-    for r in rows.limit(10_000).collect():  # groups of two closed vocabularies
+    for r in bounded_rows(rows, 10_000, "the report"):  # groups of two closed vocabularies
         pct = r["p"] * 100 // r["n"]
         cells = "".join(f"<td>{escape(str(x))}</td>" for x in (r["category"], r["difficulty"], r["n"], f"{pct}%"))
         lines.append(f'<tr>{cells}<td><div style="width:{max(0, min(100, pct))}px"></div></td></tr>')

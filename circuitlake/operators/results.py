@@ -11,6 +11,7 @@ from circuitlake.operators import signals as sig
 
 OUTPUTS = ("out", "vout", "output")
 INPUTS = ("in", "vin", "input")
+MAX_CORNERS = 1000
 
 
 def hash_uniform(key: Column, seed: int) -> Column:
@@ -100,8 +101,11 @@ def stability(loop_out: DataFrame, loop_in: DataFrame) -> DataFrame:
 
 
 def corner_grid(decks: DataFrame, corners: DataFrame) -> DataFrame:
-    """Every deck at every PVT corner; corners are a dimension of a few rows, hence the cross join."""
-    return decks.crossJoin(F.broadcast(corners.limit(1000)))
+    """Every deck at every PVT corner: the grid is the result, so this is a cross join; the corners
+    are a dimension and refused beyond MAX_CORNERS."""
+    if corners.limit(MAX_CORNERS + 1).count() > MAX_CORNERS:
+        raise ValueError(f"more than {MAX_CORNERS} corners")
+    return decks.crossJoin(F.broadcast(corners))
 
 
 def monte_carlo_grid(decks: DataFrame, n: int, seed: int) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from circuitlake.functions import scores
+from circuitlake.operators import ordered
 
 NON_CONVERGENCE = -0.5
 INFEASIBLE_FACTOR = 0.1
@@ -50,10 +50,12 @@ def corner_total(nominal: DataFrame, corners: DataFrame, mode: str, by: tuple[st
     if mode == "nominal":
         return nominal.select(*by, "total")
     if mode == "monte_carlo":
-        w = Window.partitionBy(*by).orderBy("total")
-        n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-        ranked = corners.select(*by, "total", F.row_number().over(w).alias("rank"), n.alias("n"))
-        return ranked.filter(F.col("rank") == F.floor(F.col("n") * 0.05) + 1).select(*by, "total")
+        # equal totals are counted first; the counts then run over blocks of totals
+        counts = corners.groupBy(F.struct(*by).alias("_k"), "total").agg(F.count(F.lit(1)).alias("c"))
+        run = ordered.with_running(counts, "_k", ["total"], F.floor(F.col("total") * 1000), "c", "upto")
+        n = counts.groupBy("_k").agg(F.sum("c").alias("n"))
+        reached = run.join(n, "_k").filter(F.col("upto") >= F.floor(F.col("n") * 0.05) + 1)
+        return reached.groupBy("_k").agg(F.min("total").alias("total")).select("_k.*", "total")
     agg = corners.groupBy(*by).agg(F.min("total").alias("worst"), F.sum("total").alias("sum"), F.count("total").alias("n"))
     joined = nominal.join(agg, list(by), "left")
     if mode == "worst":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from circuitlake.functions import mathx
+from circuitlake.operators import ordered
 
 
 def samples(df: DataFrame, run: Column, x: Column, y: Column) -> DataFrame:
@@ -102,14 +103,12 @@ def summarize(signal: DataFrame) -> DataFrame:
     )
 
 
-def window_drift(signal: DataFrame) -> DataFrame:
+def window_drift(signal: DataFrame, width: float) -> DataFrame:
     """|mean of the second half - mean of the first half| by rank; null below two samples."""
-    w = Window.partitionBy("run").orderBy("x", "y")
-    n = F.count(F.lit(1)).over(Window.partitionBy("run"))
-    rows = signal.withColumn("i", F.row_number().over(w) - 1).withColumn("n", n)
-    first = F.col("i") < F.floor(F.col("n") / 2)
+    rows = ordered.with_rank(signal, "run", ["x", "y"], F.floor(F.col("x") / F.lit(width)))
+    first = F.col("_rank") <= F.floor(F.col("_n") / 2)
     drift = F.abs(F.avg(F.when(~first, F.col("y"))) - F.avg(F.when(first, F.col("y"))))
-    return rows.groupBy("run").agg(F.max("n").alias("n"), drift.alias("drift")).select("run", F.when(F.col("n") >= 2, F.col("drift")).alias("drift"))
+    return rows.groupBy("run").agg(F.max("_n").alias("n"), drift.alias("drift")).select("run", F.when(F.col("n") >= 2, F.col("drift")).alias("drift"))
 
 
 def settling(signal: DataFrame, target: Column, band: Column) -> DataFrame:

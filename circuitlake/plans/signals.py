@@ -106,7 +106,7 @@ QUERIES = {
     "signal_shape": lambda spark, d: _rounded(sig.shape(_seg(spark, d)), 4),
     "signal_summary": lambda spark, d: _rounded(sig.summarize(_wave(spark, d)), 4),
     "signal_slopes": lambda spark, d: _rounded(sig.slopes(_seg(spark, d)).withColumn("slope", F.col("slope") * 1000)),
-    "signal_drift": lambda spark, d: _rounded(sig.window_drift(_wave(spark, d))),
+    "signal_drift": lambda spark, d: _rounded(sig.window_drift(_wave(spark, d), DAY)),
     "signal_settling": settling,
     "signal_unwrap": unwrapped,
     "signal_value_at": value_at,

@@ -64,3 +64,19 @@ def test_empty_and_single_samples(spark):
     rows = sig.with_next(sig.samples(one, F.col("run"), F.col("x"), F.col("y")), 1.0).collect()
     assert len(rows) == 1 and rows[0].x1 is None
     assert sig.closure(sig.with_next(sig.samples(one, F.col("run"), F.col("x"), F.col("y")), 1.0), 0.0).collect()[0].x_at is None
+
+
+def test_ranks_and_running_values_across_blocks(spark):
+    from circuitlake.operators import ordered
+
+    random.seed(4)
+    rows = [(k, i, random.choice([None, 1.0, -2.0, 5.0])) for k in range(3) for i in random.sample(range(100), 40)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    block = F.floor(F.col("i") / 7)
+    got = {(r.k, r.i): r for r in ordered.with_running(ordered.with_running(ordered.with_rank(df, "k", ["i"], block), "k", ["i"], block, "v", "s"), "k", ["i"], block, "v", "m", "max").collect()}
+    for k in range(3):
+        own = sorted(r for r in rows if r[0] == k)
+        for n, (_, i, _) in enumerate(own, 1):
+            seen = [v for _, _, v in own[:n] if v is not None]
+            r = got[(k, i)]
+            assert (r["_rank"], r["_n"]) == (n, 40) and r.s == (sum(seen) if seen else None) and r.m == (max(seen) if seen else None)
