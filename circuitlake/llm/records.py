@@ -66,7 +66,7 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def members(records: DataFrame) -> DataFrame:
     """(id, split, source, cid, n_words) of every record with words; materialised."""
     rows = records.filter("id is not null").select(
-        "id", F.lower(F.trim("split")).alias("split"), "source", F.coalesce(conversation(), F.lit("")).alias("text")
+        "id", F.lower(F.regexp_replace("split", r"\s+", "")).alias("split"), "source", F.coalesce(conversation(), F.lit("")).alias("text")
     )
     rows = rows.mapInPandas(_bags, "id string, split string, source string, n_words int, cid string").filter("n_words > 0")
     rows = rows.groupBy("id").agg(F.min(F.struct("cid", "n_words", "split", "source")).alias("r"))
