@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circuitlake.llm.records import words
-from circuitlake.runtime import cut
+from circuitlake.runtime import cut, small
 
 NGRAM = 6
 RUN = 12
@@ -163,8 +163,8 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
     if not seeds:
         return spark.createDataFrame([], "doc_id long, task_id string, longest_run int, score int, covered double")
     seed_rows = F.broadcast(spark.createDataFrame(seeds, "gram int, task int"))  # the block's grams at most
-    wanted = cut(hits.join(seed_rows, "gram").select("doc_id", "task").distinct())
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set("task").alias("tasks"))
+    wanted = hits.join(seed_rows, "gram").select("doc_id", "task").distinct()
+    wanted = small(cut(wanted.groupBy("doc_id").agg(F.collect_set("task").alias("tasks"))))
     of_task: dict[int, list[int]] = {}
     for g, t in seeds:
         of_task.setdefault(t, []).append(g)
