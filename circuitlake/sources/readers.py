@@ -219,3 +219,16 @@ class MockReader(DataSourceReader):
         for i in range(self.points):
             x = 10 ** (i * 8 / max(1, self.points - 1))
             yield run, self.corner, i, x, factor * (40 + run - 10 * math.log10(1 + (x / 1e4) ** 2))
+
+
+def trainer_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, step, loss) of every trainer_state.json below a folder; entries without loss are left out."""
+    schema = "log_history array<struct<step: long, loss: double>>"
+    files = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").option("multiLine", True).json(path)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.explode("log_history").alias("e"))
+    return rows.select("file", "e.step", "e.loss").filter("loss is not null")
+
+
+def first_chats(spark: SparkSession, path: str, n: int, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """The first n chats in order of file name and id (the feature is the limit)."""
+    return chats(spark, path, excluded).orderBy("_source", "id").limit(n)

@@ -122,3 +122,12 @@ def test_stream_episodes(spark, tmp_path):
     query.stop()
     last = {r.run_id: r for r in spark.sql("select * from ep order by steps").collect()}
     assert last[1].steps == 4 and last[1].total == 1.5 and last[1].stuck and last[2].best is None and not last[2].stuck
+
+
+def test_trainer_logs_and_first_chats(spark, tmp_path):
+    (tmp_path / "run" / "cp").mkdir(parents=True)
+    (tmp_path / "run" / "cp" / "trainer_state.json").write_text(json.dumps({"log_history": [{"step": 1, "loss": 2.0}, {"step": 2}, {"step": 3, "loss": 1.0}]}, indent=1))
+    assert sorted((r.step, r.loss) for r in readers.trainer_logs(spark, str(tmp_path)).collect()) == [(1, 2.0), (3, 1.0)]
+    rows = [{"id": i, "messages": []} for i in ("b", "a", "c")]
+    (tmp_path / "x.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    assert [r.id for r in readers.first_chats(spark, str(tmp_path / "x.jsonl"), 2).collect()] == ["a", "b"]
