@@ -179,19 +179,22 @@ def fit(
     if not len(rated) or not len(lengths):
         return Model(w, bias)
     # equal sentences are kept once, found by a digest of their sorted features
-    row = np.repeat(np.arange(len(lengths)), lengths)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     with np.errstate(over="ignore"):
-        mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
+        codes = (np.arange(1 << BITS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(31)
+        codes *= codes
         digest = np.zeros(len(lengths), np.uint64)
-        np.add.at(digest, row, mixed * mixed)
+        for at in range(0, len(flat), 1 << 20):  # bounded temporaries
+            np.add.at(digest, row[at : at + (1 << 20)], codes[flat[at : at + (1 << 20)]])
     _, first, sent_of = np.unique(digest, return_index=True, return_inverse=True)
     keep = np.zeros(len(lengths), bool)
     keep[first] = True
     new_name = np.cumsum(keep) - 1
     sent_of = new_name[first][sent_of]
     chosen = keep[row]
-    flat, row, lengths = flat[chosen], new_name[row[chosen]], lengths[keep]
+    flat, row, lengths = flat[chosen], new_name[row[chosen]].astype(np.int32), lengths[keep]
+    del chosen, codes, digest
     n_sent = len(lengths)
     scale = damping(lengths)
     cell = scale[row].astype(np.float32)
