@@ -1,11 +1,12 @@
 """Groups of records that differ by small edits.
 
-Order MinHash: each of `SKETCHES` hash functions picks the `PICK` smallest
-occurrence-labelled word k-mers of a record and keeps them in text order; equal sketches
-of one function put records into one bucket. Records with equal bags of words are one
-content beforehand. Pairs that meet in two buckets are candidates; they are verified by
-banded alignment and the exact overlap of their bags; groups are the components of the
-verified links.
+MinHash over the occurrence-labelled words of a record, the very bags the overlap is
+defined on, so the kind of edit (words put in, phrases reordered) does not matter: 96
+sketches of eight min-hashes each; equal sketches put records into one bucket. Records
+with equal bags of words are one content beforehand. Pairs that meet in two buckets are
+candidates (at overlap 0.8 a pair is missed with probability 4e-7, see `records.bands`,
+less above); they are verified by the exact overlap of their bags; groups are the
+components of the verified links.
 
 Buckets of at most `ALL_PAIRS` contents are paired in full. A larger bucket is not: each
 member is first compared with the bucket's leader (another member for each bucket) and
@@ -18,9 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,69 +27,15 @@ from circuitlake.llm import records as rec
 from circuitlake.llm.components import connected_components
 from circuitlake.runtime import cut
 
-KMER = 7
-PICK = 2
-SKETCHES = 96
 ALL_PAIRS = 32
 #: Buckets two contents must share to be compared.
 MEETINGS = 2
 
-_U = np.uint64
-_SEEDS = np.array([xxhash.xxh64_intdigest(f"sketch {j}") for j in range(SKETCHES)], dtype=np.uint64)
-_ODD_SEEDS = _SEEDS | _U(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _occurrences(grams: np.ndarray) -> np.ndarray:
-    """How often each k-mer came before."""
-    order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    starts = np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
-    out = np.empty(len(grams), np.uint64)
-    out[order] = np.arange(len(grams)) - starts
-    return out
-
-
-def sketches(words: list[str], k: int = KMER, pick: int = PICK) -> np.ndarray:
-    """One 64-bit digest per hash function: the picked k-mers in text order.
-
-    Texts shorter than k words are one k-mer; a text with fewer than `pick` k-mers
-    keeps what it has.
-    """
-    h = rec.word_hashes(words)
-    with np.errstate(over="ignore"):
-        n = max(1, len(h) - k + 1)
-        plain = np.zeros(n, np.uint64)
-        for i in range(min(k, len(h))):
-            plain = _mix(plain + h[i : i + n])
-        labelled = _mix(plain ^ (_occurrences(plain) * _U(0x9E3779B97F4A7C15)))
-        take = min(pick, n)
-        chosen = np.empty((SKETCHES, take), np.int64)
-        for at in range(0, SKETCHES, 8):  # keeps the rank table of long texts small
-            # the k-mers are well mixed already, so an odd factor per function permutes them
-            ranks = labelled[None, :] * _ODD_SEEDS[at : at + 8, None]
-            rows = np.arange(len(ranks))
-            for c in range(take):
-                best = ranks.argmin(1)
-                chosen[at : at + 8, c] = best
-                ranks[rows, best] = _U(0xFFFFFFFFFFFFFFFF)
-        chosen.sort(axis=1)  # text order
-        digest = _SEEDS.copy()
-        for c in range(take):
-            digest = _mix(digest * _U(0x9E3779B97F4A7C15) ^ plain[chosen[:, c]])
-    return digest.view(np.int64)
-
 
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One compact row per content."""
     for b in batches:
-        yield pd.DataFrame({"cid": b["cid"], "sketches": [sketches(rec.words(t)) for t in b["text"]]})
+        yield pd.DataFrame({"cid": b["cid"], "sketches": [rec.bands(rec.word_hashes(rec.words(t))) for t in b["text"]]})
 
 
 def _pairs(rows: DataFrame) -> DataFrame:

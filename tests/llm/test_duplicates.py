@@ -126,3 +126,39 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a int, b int")).collect()))
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and got[201] == 200
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def edited(rng, base, kind):
+    """A copy of overlap 0.8 or more that keeps few runs of words."""
+    if kind == "inserted":
+        return [x for w in base for x in ([w, rng.choice(VOCAB)] if rng.random() < 0.19 else [w])]
+    cuts = [0]
+    while cuts[-1] < len(base):
+        cuts.append(cuts[-1] + rng.randint(*((4, 8) if kind == "phrases" else (2, 2))))
+    parts = [base[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+    if kind == "phrases":
+        rng.shuffle(parts)
+    else:
+        parts = [p[::-1] if rng.random() < 0.6 else p for p in parts]
+    words = [w for p in parts for w in p]
+    words[rng.randrange(len(words))] = "other"
+    return words
+
+
+@pytest.fixture(scope="module")
+def scattered():
+    rng = random.Random(11)
+    rows = []
+    for kind in ("inserted", "phrases", "swapped"):
+        for i in range(40):
+            base = [rng.choice(VOCAB) + str(rng.randrange(9)) for _ in range(150)]
+            rows.append({"id": f"{kind}{i:02d}a", "text": " ".join(base), "split": "train"})
+            rows.append({"id": f"{kind}{i:02d}b", "text": " ".join(edited(rng, base, kind)), "split": "test"})
+    return rows
+
+
+def test_groups_of_scattered_edits(chats, scattered):
+    pairs = brute_pairs(scattered)
+    assert len(pairs) > 110
+    got = {(r.group_id, r.id) for r in neardup.found(chats(scattered)).collect()}
+    assert got == {(a, x) for a, b in pairs for x in (a, b)}
