@@ -8,8 +8,10 @@ cover `cover` of the longer record are verified on their whole bags of words.
 The join is exact for that condition yet avoids common chunks: chunks are ordered by
 their number of holders over all records, and only the rarest ones up to all but `slack`
 of a record's length are joined; a pair that shares `cover` of its length then shares at
-least `cover - slack` of it among these. Exact copies are one content and are joined
-only when ids are written out.
+least `cover - slack` of it among these. Edits scattered over the whole record leave
+hardly an equal chunk, so pairs that share `MEETINGS` sketches of their bags of words
+(`records.bands`; at overlap 0.8 all but 4e-7 of them, whatever the edit) are verified
+too. Exact copies are one content and are joined only when ids are written out.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from circuitlake.runtime import cut
 COVER = 0.10
 #: Share of a record, its most common chunks, that need not be joined.
 SLACK = 0.06
+#: Sketches of their bags that two contents must share to be verified without shared chunks.
+MEETINGS = 2
 EVAL_SPLITS = ("val", "test")
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -60,24 +64,25 @@ def cut_chunks(words: list[str], window: int = 2, least: int = 4, mean: int = 4,
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chunks of each content as two arrays, so a content is one compact row."""
+    """The chunks and sketches of each content as arrays, so a content is one compact row."""
     for b in batches:
-        digests, weights, lengths = [], [], []
+        digests, weights, lengths, sketches = [], [], [], []
         for text in b["text"]:
             ws = rec.words(text)
+            hashes = rec.word_hashes(ws)
             total: dict[int, int] = {}
-            for digest, n in cut_chunks(ws):
+            for digest, n in cut_chunks(ws, hashes=hashes):
                 total[digest] = total.get(digest, 0) + n
             digests.append(np.fromiter(total, np.uint64, len(total)).view(np.int64))
             weights.append(np.fromiter(total.values(), np.int32, len(total)))
             lengths.append(len(ws))
-        yield pd.DataFrame({"cid": b["cid"], "digests": digests, "weights": weights, "n_words": lengths})
+            sketches.append(rec.bands(hashes))
+        yield pd.DataFrame({"cid": b["cid"], "digests": digests, "weights": weights, "n_words": lengths, "sketches": sketches})
 
 
-def rare_chunks(contents: DataFrame, slack: float = SLACK) -> DataFrame:
+def rare_chunks(packed: DataFrame, slack: float = SLACK) -> DataFrame:
     """(cid, digest, weight, n_words): of each content the shared chunks among its rarest
     ones, up to all but `slack` of its length."""
-    packed = cut(contents.mapInPandas(_chunk_rows, "cid long, digests array<long>, weights array<int>, n_words int"))
     rows = packed.select("cid", "n_words", F.explode(F.arrays_zip("digests", "weights")).alias("c")).select("cid", "n_words", "c.digests", "c.weights")
     rows = rows.toDF("cid", "n_words", "digest", "weight")
     holders = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
@@ -88,16 +93,29 @@ def rare_chunks(contents: DataFrame, slack: float = SLACK) -> DataFrame:
     return shared.withColumn("after", after).filter(F.col("after") > F.col("n_words") * slack).select("cid", "digest", "weight", "n_words")
 
 
+def sketched_pairs(packed: DataFrame, sides: DataFrame) -> DataFrame:
+    """(t, e) of contents of like length, t with a training record, e with an evaluation
+    record, that share `MEETINGS` sketches."""
+    rows = packed.join(sides, "cid").select("cid", "n_words", "in_train", "in_eval", F.explode("sketches").alias("sketch"))
+    both = rows.groupBy("sketch").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e"), F.count(F.lit(1)).alias("n")).filter("t and e and n > 1")
+    rows = cut(rows.join(both.select("sketch"), "sketch"))
+    train = rows.filter("in_train").select(F.col("cid").alias("t"), "sketch", F.col("n_words").alias("nt"))
+    held = rows.filter("in_eval").select(F.col("cid").alias("e"), "sketch", F.col("n_words").alias("ne"))
+    pairs = train.join(held, "sketch").filter("t <> e").filter(f"least(nt, ne) >= {rec.OVERLAP} * greatest(nt, ne)")
+    return pairs.groupBy("t", "e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEETINGS).select("t", "e")
+
+
 def overlapping_contents(contents: DataFrame, sides: DataFrame, cover: float = COVER, slack: float = SLACK) -> DataFrame:
     """Candidate pairs (a, b) of contents, one with a training record, the other with an
-    evaluation record, whose shared chunks may cover `cover` of the longer one.
-    sides: (cid, in_train, in_eval)."""
-    rare = cut(rare_chunks(contents, slack).join(sides, "cid"))
+    evaluation record, whose shared chunks may cover `cover` of the longer one or whose
+    bags share sketches. sides: (cid, in_train, in_eval)."""
+    packed = cut(contents.mapInPandas(_chunk_rows, "cid long, digests array<long>, weights array<int>, n_words int, sketches array<long>"))
+    rare = cut(rare_chunks(packed, slack).join(sides, "cid"))
     train = rare.filter("in_train").select(F.col("cid").alias("t"), "digest", F.col("weight").alias("wt"), F.col("n_words").alias("nt"))
     held = rare.filter("in_eval").select(F.col("cid").alias("e"), "digest", F.col("weight").alias("we"), F.col("n_words").alias("ne"))
     pairs = train.join(held, "digest").filter("t <> e").filter(f"least(nt, ne) >= {rec.OVERLAP} * greatest(nt, ne)")
     pairs = pairs.groupBy("t", "e").agg(F.sum(F.least("wt", "we")).alias("shared"), F.max(F.greatest("nt", "ne")).alias("longer"))
-    pairs = pairs.filter(F.col("shared") >= F.col("longer") * (cover - slack))
+    pairs = pairs.filter(F.col("shared") >= F.col("longer") * (cover - slack)).select("t", "e").union(sketched_pairs(packed, sides))
     return pairs.select(F.least("t", "e").alias("a"), F.greatest("t", "e").alias("b")).distinct()
 
 

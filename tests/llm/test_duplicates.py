@@ -162,3 +162,8 @@ def test_groups_of_scattered_edits(chats, scattered):
     assert len(pairs) > 110
     got = {(r.group_id, r.id) for r in neardup.found(chats(scattered)).collect()}
     assert got == {(a, x) for a, b in pairs for x in (a, b)}
+
+
+def test_cross_split_pairs_of_scattered_edits(chats, scattered):
+    got = {tuple(r) for r in crosssplit.found(chats(scattered)).collect()}
+    assert got == brute_pairs(scattered)
