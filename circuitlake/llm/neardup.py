@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from circuitlake.runtime import cut
 ALL_PAIRS = 32
 #: Buckets two contents must share to be compared.
 MEETINGS = 2
+#: Contents and words of a block in which links are counted, and tokens compared at once.
+BLOCK, BLOCK_WORDS, SLICE = 512, 1 << 18, 4096
 
 
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,21 +88,69 @@ def links(records: DataFrame, reps: DataFrame, all_pairs: int = ALL_PAIRS) -> Da
     return near.union(rec.verified(more, _touched(records, reps, more)).select("a", "b"))
 
 
-def groups(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """(group_id, id, n_links): each record with a near relative; group_id is the smallest
-    id of its group, n_links the verified links of its content."""
+def _named(records: DataFrame, all_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records (id, digest); their contents (cid, id, digest); contents with a near relative
+    or a copy (cid, root, group_id)."""
     everyone = rec.members(records)
     reps = rec.numbered(everyone.groupBy("cid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     near = cut(links(records, reps.select("cid", "id"), all_pairs))
     roots = connected_components(near)
-    degree = near.select(F.col("a").alias("cid")).union(near.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     kept = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").filter("root is not null or n > 1")
-    kept = kept.withColumn("root", F.coalesce("root", "cid")).join(degree, "cid", "left")
+    kept = kept.withColumn("root", F.coalesce("root", "cid"))
     names = kept.groupBy("root").agg(F.min("id").alias("group_id"))
-    named = kept.join(names, "root").select("cid", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = named.join(reps.select("cid", "digest"), "cid")
-    return everyone.select("id", F.col("cid").alias("digest")).join(named, "digest").select("group_id", "id", "n_links")
+    return everyone.select("id", F.col("cid").alias("digest")), reps, cut(kept.join(names, "root").select("cid", "root", "group_id"))
+
+
+def _bag_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        bags = [rec.bag_hashes(rec.word_hashes(rec.words(t))).view(np.int64) for t in b["text"]]
+        yield pd.DataFrame({"cid": b["cid"], "bag": bags, "n_words": [len(x) for x in bags]})
+
+
+def _count_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the contents of blocks lo and hi, or inside the block if they are one."""
+    sizes = pdf["n_words"].to_numpy(np.int64)
+    row = np.repeat(np.arange(len(pdf)), sizes)
+    _, token = np.unique(np.concatenate(pdf["bag"].to_list()), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    shared = np.zeros((len(pdf), len(pdf)), np.float32)
+    for at in range(0, int(token[-1]) + 1, SLICE):
+        i, j = np.searchsorted(token, [at, at + SLICE])
+        dense = np.zeros((len(pdf), SLICE), np.float32)
+        dense[row[i:j], token[i:j] - at] = 1
+        shared += dense @ dense.T
+    common = shared.astype(np.float64)
+    linked = common / (sizes[:, None] + sizes[None, :] - common) >= rec.OVERLAP
+    np.fill_diagonal(linked, False)
+    block = pdf["block"].to_numpy()
+    if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+        linked &= block[:, None] != block[None, :]
+    return pd.DataFrame({"cid": pdf["cid"], "n": linked.sum(1)})
+
+
+def link_counts(records: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cid, n_links): of each content of a component (cid, root) the number of contents it
+    is linked to. All pairs of a component are counted, block by block."""
+    bags = cut(rec.texts(records, reps.join(roots.select("cid"), "cid")).mapInPandas(_bag_rows, "cid long, bag array<long>, n_words long").join(roots, "cid"))
+    sizes = bags.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("total")).filter("n > 1")
+    sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    rows = bags.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", "cid", "bag", "n_words", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counts = rows.groupBy("root", "lo", "hi").applyInPandas(_count_block, "cid long, n long")
+    return counts.groupBy("cid").agg(F.sum("n").alias("n_links"))
+
+
+def groups(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """(group_id, id, n_links): each record with a near relative; group_id is the smallest
+    id of its group, n_links the number of other contents its content is linked to."""
+    everyone, reps, named = _named(records, all_pairs)
+    degree = link_counts(records, reps.select("cid", "id"), named.select("cid", "root"))
+    named = named.join(degree, "cid", "left").join(reps.select("cid", "digest"), "cid")
+    return everyone.join(named, "digest").select("group_id", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def found(records: DataFrame) -> DataFrame:
-    return groups(records).select("group_id", "id")
+    everyone, reps, named = _named(records, ALL_PAIRS)
+    return everyone.join(named.select("cid", "group_id").join(reps.select("cid", "digest"), "cid"), "digest").select("group_id", "id")

@@ -167,3 +167,21 @@ def test_groups_of_scattered_edits(chats, scattered):
 def test_cross_split_pairs_of_scattered_edits(chats, scattered):
     got = {tuple(r) for r in crosssplit.found(chats(scattered)).collect()}
     assert got == brute_pairs(scattered)
+
+
+def test_links_of_a_hot_group_are_all_counted(chats, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(13)
+    base = [rng.choice(VOCAB) for _ in range(100)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        for j in rng.sample(range(100), 5 + i % 4):
+            words[j] = f"new{rng.randrange(900)}"
+        rows.append({"id": f"h{i:02d}", "text": " ".join(words)})
+    want = {r["id"]: 0 for r in rows}
+    for pair in brute_pairs(rows):
+        for x in pair:
+            want[x] += 1
+    got = {r.id: r.n_links for r in neardup.groups(chats(rows), 2).collect()}
+    assert got == {x: n for x, n in want.items() if n} and len(set(got.values())) > 2
