@@ -55,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or dealt out over all cores if it comes in fewer than half as many parts (small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables `cut` wrote in this application; results built on them must be stored before."""
     sc = spark.sparkContext
@@ -96,7 +102,7 @@ def bounded_rows(df: DataFrame, rows: int, what: str) -> list:
 
 
 #: A key counts as hot beyond this many rows, and beyond its ten-thousandth of all rows.
-HOT_ROWS = 10_000
+HOT_ROWS = 100_000
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, size: str, total: int, how_many: int = 10_000) -> DataFrame:
@@ -105,6 +111,8 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, size: str, total: i
     Rows of hot keys are not shuffled: at most `how_many` keys can hold more than a
     `how_many`-th of all rows each, so their side is broadcast; the rest is shuffled.
     """
+    if total <= HOT_ROWS:
+        return left.join(right, key)
     hot = right.filter(F.col(size) > max(HOT_ROWS, total // how_many))
     if hot.limit(1).count() == 0:
         return left.join(right, key)
