@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circuitlake.runtime import cut
+from circuitlake.runtime import cut, join_skewed
 
 MAX_ROUNDS = 50
 
@@ -13,22 +13,25 @@ MAX_ROUNDS = 50
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the component's smallest node.
 
-    Each round rewires neighbours to the local minimum; hubs never gather their
-    neighbours, as only minima are aggregated and joined back.
+    Each round rewires neighbours to the local minimum. A hub's neighbours are not gathered:
+    minima are combined before the shuffle, and hubs' minima are broadcast to the edges
+    (`join_skewed`). Rounds end when the edges' number and sum of hashes stay the same.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = None
     for _ in range(MAX_ROUNDS):
+        mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before, total = mark, 2 * mark[0]
         # large star: connect larger neighbours of each node to its minimum
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_skewed(both, low, "u", "n", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: connect the node and its smaller neighbours to the minimum
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(down.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        if after.exceptAll(pairs).limit(1).count() == 0 and pairs.exceptAll(after).limit(1).count() == 0:
-            break
-        pairs = after
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = join_skewed(large, low, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = cut(down.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v")).distinct()

@@ -2,9 +2,12 @@
 
 Rare n-gram seeds join documents to test items: every run of `RUN` words of a test text
 is covered by its rarest n-gram (by the number of documents that hold it), so a document
-that shares such a run is always a candidate. Candidates are scored by Smith-Waterman
-alignment around their seeds, which also rates edited and paraphrased copies; the longest
-common run of words is exact.
+that shares such a run is always a candidate. Every candidate is scored by Smith-Waterman
+alignment around all its seeds; it is a leak if the score reaches `SCORE`, which an unedited
+run of `RUN` words always does and edited or paraphrased copies do as well. The alignment
+also gives the longest common run of words; `found` keeps the leaks where it reaches `RUN`.
+An edited copy without any seed left (no six words in a row, or none of the rarest ones) is
+not seen; tests/llm measures that share against alignment of all pairs.
 
 Test items are handled in blocks of at most `BLOCK_WORDS` words, each block one pass over
 the corpus, so what is sent to the executors is bounded whatever the number of items.
@@ -24,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circuitlake.llm.records import words
-from circuitlake.runtime import cut, small
+from circuitlake.runtime import cut, small, spread
 
 NGRAM = 6
 RUN = 12
+MATCH, MISMATCH, GAP = 2, -1, -1
+#: Alignment score from which a passage counts as leaked: that of `RUN` equal words.
+SCORE = RUN * MATCH
+#: Cells of the alignments done at once.
+CELLS = 1 << 16
 BLOCK_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,35 +93,55 @@ class Block:
         return sorted(out)
 
 
-def shares_run(doc: np.ndarray, item: np.ndarray, run: int) -> bool:
-    """Whether two id sequences have `run` words in a row in common."""
-    if min(len(doc), len(item)) < run:
-        return False
-    equal = doc[:, None] == item[None, :]
-    rows, cols = equal.shape[0] - run + 1, equal.shape[1] - run + 1
-    along = equal[:rows, :cols].copy()
-    for k in range(1, run):
-        along &= equal[k : k + rows, k : k + cols]
-    return bool(along.any())
-
-
-def longest_run_and_score(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
-    """(longest common run of words, Smith-Waterman score) of two id sequences; -1 matches nothing."""
-    h = np.zeros(len(item) + 1, np.int64)
-    run = np.zeros(len(item) + 1, np.int64)
-    ramp = -gap * np.arange(len(item) + 1)
-    best = longest = 0
-    for w in doc:
-        equal = item == w if w >= 0 else np.zeros(len(item), bool)
-        step = np.where(equal, match, mismatch)
-        new = np.zeros_like(h)
-        new[1:] = np.maximum(0, np.maximum(h[:-1] + step, h[1:] + gap))
-        h = np.maximum.accumulate(new + ramp) - ramp  # gaps along the item
-        run[1:] = np.where(equal, run[:-1] + 1, 0)
-        best, longest = max(best, int(h.max())), max(longest, int(run.max()))
+def align(windows: list[np.ndarray], items: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(longest common run of words, Smith-Waterman score) of each window with its item, both
+    sequences of ids; -1 matches nothing. Pairs of like length are aligned together, a word of
+    all windows at a time, so memory is bounded by `cells` (or one item) however long texts are.
+    """
+    longest, best = np.zeros(len(windows), np.int32), np.zeros(len(windows), np.int32)
+    order = sorted(range(len(windows)), key=lambda i: (len(windows[i]), len(items[i])))
+    at = 0
+    while at < len(order):
+        width, part = 0, []
+        while at < len(order) and (not part or max(width, len(items[order[at]])) * (len(part) + 1) <= cells):
+            width = max(width, len(items[order[at]]))
+            part.append(order[at])
+            at += 1
+        item = np.full((len(part), width), -3, np.int32)
+        doc = np.full((max(len(windows[i]) for i in part), len(part)), -2, np.int32)
+        for k, i in enumerate(part):
+            item[k, : len(items[i])] = items[i]
+            doc[: len(windows[i]), k] = windows[i]
+        doc[doc == -1] = -2
+        h = np.zeros((len(part), width + 1), np.int32)
+        run = np.zeros((len(part), width + 1), np.int32)
+        ramp = -GAP * np.arange(width + 1, dtype=np.int32)
+        top, far = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
+        for w in doc:
+            equal = item == w[:, None]
+            new = np.zeros_like(h)
+            np.maximum(h[:, :-1] + np.where(equal, MATCH, MISMATCH), h[:, 1:] + GAP, out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            h = np.maximum.accumulate(new + ramp, axis=1) - ramp  # gaps along the item
+            run[:, 1:] = (run[:, :-1] + 1) * equal
+            np.maximum(top, h.max(1), out=top)
+            np.maximum(far, run.max(1), out=far)
+        longest[part], best[part] = far, top
     return longest, best
 
 
+def windows_of(places: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
+    """Neighbourhoods of the seeds of an item of `length` words; overlapping ones are merged."""
+    out: list[tuple[int, int]] = []
+    for p in places.tolist():
+        lo, hi = max(0, p - length), p + n + length
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _blocks(items: DataFrame, block_words: int) -> Iterator[Block]:
     part, size = [], 0
     for row in items.toLocalIterator():  # one partition at a time; blocks bound what is held
@@ -128,8 +156,8 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[Block]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, task_id, longest_run, score, covered): documents sharing a run of `run` words
-    with a test item. covered: score over the best score the item could reach.
+    """(doc_id, task_id, longest_run, score, covered): documents with a passage that aligns with
+    a test item at a score of 2 `run` or more. covered: score over the best the item could reach.
 
     items: (id, description).
     """
@@ -157,7 +185,7 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
                     grams.append(got.tolist())
             yield pd.DataFrame({"doc_id": ids, "grams": grams})
 
-    hits = cut(docs.mapInPandas(find, "doc_id long, grams array<int>").withColumn("gram", F.explode("grams")).select("doc_id", "gram").distinct())
+    hits = cut(spread(docs).mapInPandas(find, "doc_id long, grams array<int>").withColumn("gram", F.explode("grams")).select("doc_id", "gram").distinct())
     holders = {r["gram"]: r["n"] for r in hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # the block's grams at most
     seeds = block.seeds(holders, run)
     if not seeds:
@@ -170,44 +198,55 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
         of_task.setdefault(t, []).append(g)
     seed_sets = spark.sparkContext.broadcast({t: np.array(sorted(g)) for t, g in of_task.items()})
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b, seeds_of = shared.value, seed_sets.value
         for batch in batches:
-            rows = []
+            pairs, windows, of_pair = [], [], []
             for doc_id, text, tasks in zip(batch["doc_id"], batch["text"], batch["tasks"], strict=True):
                 ids = b.encode(text)
                 at, grams = b.hits(ids)
                 for t in tasks:
-                    item = b.ids[t]
-                    places = at[np.isin(grams, seeds_of[t])]
-                    longest = best = 0
-                    lo = hi = -1
-                    for p in [*places, None]:  # merge the neighbourhoods of the seeds
-                        if p is not None and lo >= 0 and p - len(item) <= hi:
-                            hi = p + b.n + len(item)
-                            continue
-                        if lo >= 0 and shares_run(ids[lo:hi], item, run):
-                            got = longest_run_and_score(ids[lo:hi], item)
-                            longest, best = max(longest, got[0]), max(best, got[1])
-                        if p is not None:
-                            lo, hi = max(0, p - len(item)), p + b.n + len(item)
-                    if longest >= run:
-                        rows.append((doc_id, b.tasks[t], longest, best, best / (2.0 * len(item))))
+                    for lo, hi in windows_of(at[np.isin(grams, seeds_of[t])], len(b.ids[t]), b.n):
+                        windows.append(ids[lo:hi])
+                        of_pair.append(len(pairs))
+                    pairs.append((doc_id, t))
+            longest, best = align(windows, [b.ids[pairs[k][1]] for k in of_pair])
+            runs, scores = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)
+            np.maximum.at(runs, of_pair, longest)
+            np.maximum.at(scores, of_pair, best)
+            rows = [
+                (doc_id, b.tasks[t], int(r), int(s), s / (1.0 * MATCH * len(b.ids[t])))
+                for (doc_id, t), r, s in zip(pairs, runs, scores, strict=True)
+                if s >= MATCH * run
+            ]
             yield pd.DataFrame(rows, columns=["doc_id", "task_id", "longest_run", "score", "covered"])
 
     texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
-    rows = texts.select("doc_id", "text", "tasks").mapInPandas(align, "doc_id long, task_id string, longest_run int, score int, covered double")
+    rows = texts.select("doc_id", "text", "tasks").mapInPandas(score, "doc_id long, task_id string, longest_run int, score int, covered double")
     return rows.groupBy("doc_id", "task_id").agg(F.max("longest_run").alias("longest_run"), F.max("score").alias("score"), F.max("covered").alias("covered"))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    return leaks(documents, items).select("doc_id", "task_id")
+    """Leaks with a run of `RUN` words in common."""
+    return leaks(documents, items).filter(F.col("longest_run") >= RUN).select("doc_id", "task_id")
 
 
 def report(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Per leaked test item: documents, longest run, best cover."""
+    """Per leaked test item: documents that hold a run of it, documents with edited passages
+    only, the longest run and the best cover."""
+    exact = (F.col("longest_run") >= RUN).cast("long")
     return (
         leaks(documents, items)
         .groupBy("task_id")
-        .agg(F.count(F.lit(1)).alias("documents"), F.max("longest_run").alias("longest_run"), F.round(F.max("covered"), 4).alias("covered"))
-    )
+        .agg(
+            F.sum(exact).alias("documents"), F.sum(1 - exact).alias("edited"),
+            F.max("longest_run").alias("longest_run"), F.round(F.max("covered"), 4).alias("covered"),
+        )
+    )
+
+
+def sources(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Per source: documents that hold a run of any test item."""
+    bad = found(documents, items).select("doc_id").distinct()
+    rows = documents.filter("doc_id is not null").select("doc_id", "source").distinct()
+    return rows.join(small(bad.withColumn("leaked", F.lit(1))), "doc_id", "left").groupBy("source").agg(F.count("leaked").alias("leaked"))

@@ -1,18 +1,23 @@
 """Groups of records that differ by small edits.
 
-MinHash over the occurrence-labelled words of a record, the very bags the overlap is
-defined on, so the kind of edit (words put in, phrases reordered) does not matter: 96
-sketches of eight min-hashes each; equal sketches put records into one bucket. Records
-with equal bags of words are one content beforehand. Pairs that meet in two buckets are
-candidates (at overlap 0.8 a pair is missed with probability 4e-7, see `records.bands`,
-less above); they are verified by the exact overlap of their bags; groups are the
-components of the verified links.
+Order MinHash: each of 80 sketches samples eight minimum occurrence-labelled words of a
+record and keeps the order in which they stand in the text (`records.sketches`). Records
+with equal bags of words are one content beforehand. Records that share the words of
+three sketches are candidates. If they also share the order of one, the pair looks edited
+in place and is verified by banded alignment: it is linked if the common subsequence within
+the band makes up 0.8 of the words in either. An alignment that falls short, and pairs that
+share sampled words but never their order (reordered text), are decided by the exact
+overlap of their bags, which is what the overlap is defined on; an aligned pair always has
+that overlap too. At overlap 0.8 a pair is missed with probability 6e-5, less above.
+Groups are the components of the links.
 
 Buckets of at most `ALL_PAIRS` contents are paired in full. A larger bucket is not: each
 member is first compared with the bucket's leader (another member for each bucket) and
 the components are found; then only members of different components are still compared,
-and only where they meet in a second bucket too, so no pair that meets twice is lost and
-a large group of near-copies costs one comparison a member and bucket.
+and only where they meet in two more buckets, so no pair that meets three times is lost and
+a large group of near-copies costs one comparison a member and bucket. This changes which
+links are looked at inside a component that holds together anyway, never the components;
+`n_links` is therefore counted afterwards, over all pairs of a component, in blocks.
 """
 
 from __future__ import annotations
@@ -21,84 +26,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circuitlake.llm import records as rec
 from circuitlake.llm.components import connected_components
-from circuitlake.runtime import cut
+from circuitlake.runtime import cut, join_skewed, small
 
 ALL_PAIRS = 32
-#: Buckets two contents must share to be compared.
-MEETINGS = 2
+#: Words left and right of the diagonal that an alignment may wander.
+BAND = 64
 #: Contents and words of a block in which links are counted, and tokens compared at once.
 BLOCK, BLOCK_WORDS, SLICE = 512, 1 << 18, 4096
 
 
-def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One compact row per content."""
-    for b in batches:
-        yield pd.DataFrame({"cid": b["cid"], "sketches": [rec.bands(rec.word_hashes(rec.words(t))) for t in b["text"]]})
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) per shared bucket, from rows (sketch, cids) of bounded size."""
-    one = rows.select("sketch", "cids", F.explode("cids").alias("a"))
-    return one.select("a", F.explode(F.filter("cids", lambda c: c > F.col("a"))).alias("b"))
-
-
-def _touched(records: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def banded_common(a: list[str], b: list[str], band: int = BAND) -> int:
+    """Length of the longest common subsequence within `band` words of the diagonal (bit-parallel)."""
+    start, stop = 0, min(len(a), len(b))
+    while start < stop and a[start] == b[start]:
+        start += 1
+    stop -= start
+    end = 0
+    while end < stop and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return start + end
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for j, w in enumerate(b):
+        near = (1 << min(len(a), j + band + 1)) - 1
+        if j > band:
+            near &= ~((1 << min(len(a), j - band)) - 1)
+        u = row & where.get(w, 0) & near
+        row = ((row + u) | (row - u)) & full
+    return start + end + len(a) - bin(row).count("1")
+
+
+def decide(a: list[str], b: list[str], ordered: bool, threshold: float = rec.OVERLAP) -> bool | None:
+    """Whether the alignment links the pair (True), the exact overlap does (False), or neither (None)."""
+    if ordered:
+        common = banded_common(a, b)
+        if common >= threshold * (len(a) + len(b) - common):
+            return True
+    return False if rec.overlap(a, b) >= threshold else None
+
+
+def _decide(a: list[str], b: list[str], row) -> tuple | None:
+    got = decide(a, b, row.ordered)
+    return None if got is None else (got,)
+
+
+def verified(records: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, aligned) of the pairs (a, b, ordered) that are linked; materialised."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    return rec.texts(records, reps.join(ids, "cid"))
-
-
-def links(records: DataFrame, reps: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """(a, b) with a < b: verified links between contents; enough of them inside large
-    buckets to connect what is connected."""
-    packed = cut(rec.texts(records, reps).mapInPandas(_sketch_rows, "cid long, sketches array<long>"))
-    rows = packed.select("cid", F.explode("sketches").alias("sketch"))
-    sizes = rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = cut(rows.join(sizes, "sketch"))
-
-    small = rows.filter(F.col("n") <= all_pairs).groupBy("sketch").agg(F.collect_list("cid").alias("cids"))
-    met = _pairs(small)
-    large = rows.filter(F.col("n") > all_pairs).select("sketch", "cid")
-    leader = large.groupBy("sketch").agg(F.min_by("cid", F.xxhash64("sketch", "cid")).alias("leader"))
-    starred = large.join(leader, "sketch").filter("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
-    met = met.withColumn("w", F.lit(1)).union(starred.withColumn("w", F.lit(MEETINGS)))
-    candidates = met.groupBy("a", "b").agg(F.sum("w").alias("w")).filter(F.col("w") >= MEETINGS).select("a", "b")
-    candidates = cut(candidates)
-    near = cut(rec.verified(candidates, _touched(records, reps, candidates)).select("a", "b"))
-    if large.limit(1).count() == 0:
+    return cut(rec.decided(pairs, rec.texts(records, reps.join(ids, "cid")), _decide, "aligned boolean", ("ordered",)))
+
+
+def _met(one: str, two: str) -> Column:
+    """Whether two entries (cid, n, order) are of like length and ordered by cid."""
+    return F.expr(f"{one}.cid < {two}.cid and least({one}.n, {two}.n) >= {rec.OVERLAP} * greatest({one}.n, {two}.n)")
+
+
+def links(records: DataFrame, reps: DataFrame, packed: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """(a, b, aligned) with a < b: verified links between contents; enough of them inside large
+    buckets to connect what is connected. packed: (cid, n_words, sketches)."""
+    rows = packed.select("cid", F.col("n_words").alias("n"), F.explode("sketches").alias("s"))
+    rows = rows.select("cid", "n", F.shiftright("s", 8).alias("key"), F.col("s").bitwiseAND(255).cast("short").alias("order"))
+    first = F.min_by(F.struct("cid", "n", "order"), F.xxhash64("key", "cid"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), first.alias("leader"))
+    crowded = small(cut(sizes.filter(F.col("size") > all_pairs)))
+
+    sparse = rows.join(crowded.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("cid", "n", "order")).alias("in"))
+    sparse = sparse.filter(F.size("in") > 1)  # of at most all_pairs entries
+    met = sparse.select("in", F.explode("in").alias("x")).select("x", F.explode("in").alias("y")).filter(_met("x", "y"))
+    large = rows.join(crowded, "key")
+    starred = large.select(F.struct("cid", "n", "order").alias("one"), F.col("leader").alias("two")).filter("one.cid <> two.cid")
+    starred = starred.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).filter(_met("x", "y"))
+    met = met.select("x", "y", F.lit(1).alias("w")).union(starred.select("x", "y", F.lit(rec.MEETINGS).alias("w")))
+    met = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), "w", F.expr("x.order = y.order").alias("ordered"))
+    candidates = met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("ordered").alias("ordered")).filter(F.col("w") >= rec.MEETINGS)
+    candidates = cut(candidates.select("a", "b", "ordered"))
+    near = verified(records, reps, candidates)
+    if crowded.limit(1).count() == 0:
         return near
-    # members of large buckets that are still apart: compare those that meet once more
+    # members of large buckets that are still apart: compare those that meet in two more
     roots = connected_components(near)
-    large = large.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = large.groupBy("sketch").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sketch")
-    apart = cut(large.join(mixed, "sketch"))
-    others = rows.select("cid", F.col("sketch").alias("second"))
-    refined = apart.join(others, "cid").filter("second <> sketch")
-    refined = refined.select(F.xxhash64(F.least("sketch", "second"), F.greatest("sketch", "second")).alias("key"), "cid", "root").distinct()
-    still = refined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    refined = cut(refined.join(still, "key"))
-    left = refined.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"))
-    right = refined.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, "key").filter("a < b and ra <> rb").select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
-    more = cut(more)
-    return near.union(rec.verified(more, _touched(records, reps, more)).select("a", "b"))
+    large = large.select("key", "cid", "n").join(small(roots.withColumnRenamed("node", "cid")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    apart = cut(large.join(small(cut(mixed)), "key"))
+    others = rows.select("cid", F.col("key").alias("second"), "order")
+    refined = apart.join(others, "cid").filter("second <> key")
+    refined = refined.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("both"), "cid", "n", "root", "order").dropDuplicates(["both", "cid"])
+    still = refined.groupBy("both").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("both")
+    refined = cut(refined.join(still, "both"))
+    left = refined.select("both", F.struct("cid", "n", "order").alias("x"), F.col("root").alias("rx"))
+    right = refined.select("both", F.struct("cid", "n", "order").alias("y"), F.col("root").alias("ry"))
+    more = left.join(right, "both").filter("rx <> ry").filter(_met("x", "y"))
+    more = more.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.max(F.expr("x.order = y.order")).alias("ordered"), F.count(F.lit(1)).alias("w"))
+    # three buckets, one of them large, give at least two pairs of buckets
+    more = cut(more.filter("w >= 2").select("a", "b", "ordered").join(candidates, ["a", "b"], "left_anti"))
+    return near.union(verified(records, reps, more))
 
 
 def _named(records: DataFrame, all_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records (id, digest); their contents (cid, id, digest); contents with a near relative
-    or a copy (cid, root, group_id)."""
-    everyone = rec.members(records)
-    reps = rec.numbered(everyone.groupBy("cid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    near = cut(links(records, reps.select("cid", "id"), all_pairs))
+    or a copy (cid, digest, root, group_id, n)."""
+    profiled = rec.profiles(records)
+    everyone = rec.members(profiled).select("id", "digest")
+    reps = rec.numbered(everyone.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    near = links(records, reps.select("cid", "id"), rec.packed(profiled, reps, "sketches"), all_pairs)
     roots = connected_components(near)
-    kept = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").filter("root is not null or n > 1")
+    kept = reps.join(small(roots.withColumnRenamed("node", "cid")), "cid", "left").filter("root is not null or n > 1")
     kept = kept.withColumn("root", F.coalesce("root", "cid"))
-    names = kept.groupBy("root").agg(F.min("id").alias("group_id"))
-    return everyone.select("id", F.col("cid").alias("digest")), reps, cut(kept.join(names, "root").select("cid", "root", "group_id"))
+    names = kept.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("contents"))
+    kept = join_skewed(kept, names, "root", "contents", reps.count())
+    return everyone, reps, cut(kept.select("cid", "digest", "root", "group_id", "n"))
+
+
+def _written_out(everyone: DataFrame, named: DataFrame, *columns: str) -> DataFrame:
+    """Records of the named contents; copies of one content may be many."""
+    total = named.agg(F.sum("n")).first()[0] or 0
+    return join_skewed(everyone, named.select("digest", "n", *columns), "digest", "n", total)
 
 
 def _bag_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,10 +184,10 @@ def _count_block(pdf: pd.DataFrame) -> pd.DataFrame:
 def link_counts(records: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """(cid, n_links): of each content of a component (cid, root) the number of contents it
     is linked to. All pairs of a component are counted, block by block."""
-    bags = cut(rec.texts(records, reps.join(roots.select("cid"), "cid")).mapInPandas(_bag_rows, "cid long, bag array<long>, n_words long").join(roots, "cid"))
+    bags = cut(rec.texts(records, reps.join(roots.select("cid"), "cid")).mapInPandas(_bag_rows, "cid long, bag array<long>, n_words long").join(small(roots), "cid"))
     sizes = bags.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("total")).filter("n > 1")
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    rows = bags.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    rows = bags.join(small(sizes), "root").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", "cid", "bag", "n_words", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     counts = rows.groupBy("root", "lo", "hi").applyInPandas(_count_block, "cid long, n long")
@@ -147,10 +199,10 @@ def groups(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     id of its group, n_links the number of other contents its content is linked to."""
     everyone, reps, named = _named(records, all_pairs)
     degree = link_counts(records, reps.select("cid", "id"), named.select("cid", "root"))
-    named = named.join(degree, "cid", "left").join(reps.select("cid", "digest"), "cid")
-    return everyone.join(named, "digest").select("group_id", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(degree, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return _written_out(everyone, named, "group_id", "n_links").select("group_id", "id", "n_links")
 
 
-def found(records: DataFrame) -> DataFrame:
-    everyone, reps, named = _named(records, ALL_PAIRS)
-    return everyone.join(named.select("cid", "group_id").join(reps.select("cid", "digest"), "cid"), "digest").select("group_id", "id")
+def found(records: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    everyone, _, named = _named(records, all_pairs)
+    return _written_out(everyone, named, "group_id").select("group_id", "id")

@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": _over(splits.found, "demo_output", "eval_task", "task_alias"),
     "p1_splits": _over(lambda *t: splits.assign(*t).select("id", "component", "split"), "demo_output", "eval_task", "task_alias"),
     "p1_report": _over(lambda *t: splits.report(splits.assign(*t)), "demo_output", "eval_task", "task_alias"),
+    "p1_whole": _over(lambda *t: splits.whole(splits.assign(*t)), "demo_output", "eval_task", "task_alias"),
     "p2_found": _over(
         lambda t: repeats.repeated_actions(t).filter("n_events >= 2").select("run_id", "first_step", "last_step"), "rl_ngspice_demo"
     ),
@@ -28,12 +29,14 @@ QUERIES: dict[str, Query] = {
     "p3_posteriors": _over(brokenpairs.of_benchmark, "benchmark"),
     "p5_found": _over(crosssplit.found, "demo_output"),
     "p5_report": _over(crosssplit.report, "demo_output"),
+    "p5_fractions": _over(crosssplit.fractions, "demo_output"),
     "p6_found": _over(neardup.found, "demo_output"),
     "p6_groups": _over(neardup.groups, "demo_output"),
     "p7_sequences": _over(packing.pack_documents, "documents"),
     "p7_report": _over(lambda t: packing.report(packing.pack_documents(t)), "documents"),
     "p8_found": _over(leaks.found, "documents", "eval_task"),
     "p8_report": _over(leaks.report, "documents", "eval_task"),
+    "p8_sources": _over(leaks.sources, "documents", "eval_task"),
     "p9_found": _over(abuse.found, "documents", "labels"),
     "p9_scores": _over(abuse.scored, "documents", "labels"),
     "p9_rates": _over(abuse.rates, "documents", "labels"),
@@ -75,7 +78,7 @@ SQL: dict[str, str] = {
 WITH RECURSIVE
   tasks AS (SELECT {_key("id")} AS k, min(id) AS task FROM eval_task WHERE id IS NOT NULL GROUP BY 1),
   links AS (SELECT {_key("old_id")} AS k, min({_key("new_id")}) AS t FROM task_alias GROUP BY 1),
-  ends AS (SELECT k, t, 1 AS hops FROM links UNION ALL SELECT e.k, l.t, hops + 1 FROM ends e JOIN links l ON l.k = e.t WHERE hops < 64),
+  ends AS (SELECT k, t FROM links UNION SELECT e.k, l.t FROM ends e JOIN links l ON l.k = e.t),
   names AS (
     SELECT k, task FROM tasks
     UNION ALL SELECT e.k, min(task) FROM ends e JOIN tasks ON tasks.k = e.t WHERE e.k NOT IN (SELECT k FROM tasks) GROUP BY 1)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from circuitlake.runtime import cut
+from circuitlake.runtime import cut, small, spread
 
 WORD = re.compile(r"[^\W_]+")
 OVERLAP = 0.8
@@ -51,11 +51,18 @@ def word_hashes(ws: list[str]) -> np.ndarray:
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
-BANDS = 96
+#: Sketches of a bag, and minima a sketch is made of.
+BANDS = 80
 ROWS = 8
+#: Sketches two bags must share to be compared. At overlap 0.8 a pair shares fewer with
+#: probability 6e-5 (binomial of 80 at 0.8 ** 8), less above; this is the only loss.
+MEETINGS = 3
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"bag {j}") for j in range(BANDS * ROWS)], np.uint64)
 _FLIPS, _FACTORS = (_SEEDS >> _U(32)).astype(np.uint32), _SEEDS.astype(np.uint32) | np.uint32(1)
 _PLACES = np.array([xxhash.xxh64_intdigest(f"place {j}") for j in range(BANDS * ROWS)], np.uint64) | _U(1)
+_ORDER = _U(255)
+#: Ranks of words under some of the hash functions at once; stays in the processor's cache.
+_RANKS = np.empty(1 << 16, np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,19 +85,30 @@ def bag_hashes(hashes: np.ndarray) -> np.ndarray:
         return mix(hashes ^ (before * _ODD))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """`BANDS` 64-bit digests of `ROWS` min-hashes each of a bag of words.
+def sketches(hashes: np.ndarray) -> np.ndarray:
+    """Order MinHash of the occurrence-labelled words of a text (k-mers of one word).
 
-    Two bags of overlap J share a band with probability J ** ROWS, whatever the order of
-    their words: 0.168 at 0.8, so fewer than two of 96 with probability 4e-7.
+    Each of the `BANDS` 64-bit sketches samples `ROWS` minima: its upper 56 bits name the
+    words sampled, its lowest 8 the order in which they stand in the text. Two bags of
+    overlap J sample the same words with probability J ** ROWS, whatever their order; the
+    order tells edits in place from reordered text.
     """
     labelled = (bag_hashes(hashes) >> _U(32)).astype(np.uint32)
-    low = np.empty(BANDS * ROWS, np.uint32)
-    step = max(1, (1 << 18) // len(labelled))  # keeps the rank table small
+    where = np.empty(BANDS * ROWS, np.int64)
+    step = min(BANDS * ROWS, max(1, len(_RANKS) // len(labelled)))
+    ranks = _RANKS if len(labelled) <= len(_RANKS) else np.empty(len(labelled), np.uint32)
     for at in range(0, BANDS * ROWS, step):
-        low[at : at + step] = ((labelled[None, :] ^ _FLIPS[at : at + step, None]) * _FACTORS[at : at + step, None]).min(1)
+        n = min(step, BANDS * ROWS - at)
+        table = ranks[: n * len(labelled)].reshape(n, len(labelled))
+        np.bitwise_xor(labelled[None, :], _FLIPS[at : at + n, None], out=table)
+        np.multiply(table, _FACTORS[at : at + n, None], out=table)
+        where[at : at + n] = table.argmin(1)
+    low = labelled[where].astype(np.uint64)
     with np.errstate(over="ignore"):
-        return mix((low.astype(np.uint64) * _PLACES).reshape(BANDS, ROWS).sum(1) + _SEEDS[:BANDS]).view(np.int64)
+        names = mix((low * _PLACES).reshape(BANDS, ROWS).sum(1) + _SEEDS[:BANDS])
+        places = np.argsort(where.reshape(BANDS, ROWS), axis=1, kind="stable").astype(np.uint64)
+        order = mix((places * _PLACES[:ROWS]).sum(1))
+    return ((names & ~_ORDER) | (order & _ORDER)).view(np.int64)
 
 
 def conversation(messages: str = "messages") -> Column:
@@ -99,35 +117,56 @@ def conversation(messages: str = "messages") -> Column:
     return F.concat_ws("\n", F.transform(kept, lambda m: m["content"]))
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        lists = [words(t) for t in b["text"]]
-        b["n_words"] = [len(w) for w in lists]
-        b["cid"] = [hashlib.md5(" ".join(sorted(w)).encode()).hexdigest() for w in lists]
-        yield b.drop(columns="text")
+def profiles(records: DataFrame, chunks: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """(id, split, source, digest, n_words, sketches, chunks, weights) of every record with
+    words, in one reading of the texts; materialised. Chunk columns are empty without `chunks`.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, tuple] = {}  # copies often stand together
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                ws = words(text)
+                digest = hashlib.md5(" ".join(sorted(ws)).encode()).hexdigest()
+                if ws and digest not in last:
+                    if len(last) >= 1000:
+                        last.clear()
+                    hashes = word_hashes(ws)
+                    last[digest] = (digest, len(ws), sketches(hashes), *(chunks(ws, hashes) if chunks else ((), ())))
+                out.append(last[digest] if ws else (digest, 0, (), (), ()))
+            got = pd.DataFrame(out, columns=["digest", "n_words", "sketches", "chunks", "weights"])
+            yield pd.concat([b[["id", "split", "source"]].reset_index(drop=True), got], axis=1)
 
-def members(records: DataFrame) -> DataFrame:
-    """(id, split, source, cid, n_words) of every record with words; materialised."""
     rows = records.filter("id is not null").select(
         "id", F.lower(F.regexp_replace("split", r"\s+", "")).alias("split"), "source", F.coalesce(conversation(), F.lit("")).alias("text")
     )
-    rows = rows.mapInPandas(_bags, "id string, split string, source string, n_words int, cid string").filter("n_words > 0")
-    rows = rows.groupBy("id").agg(F.min(F.struct("cid", "n_words", "split", "source")).alias("r"))
-    return cut(rows.select("id", "r.split", "r.source", "r.cid", "r.n_words"))
+    schema = "id string, split string, source string, digest string, n_words int, sketches array<long>, chunks array<long>, weights array<int>"
+    return cut(spread(rows).mapInPandas(run, schema).filter("n_words > 0"))
+
+
+def members(profiled: DataFrame) -> DataFrame:
+    """(id, split, source, digest, n_words), once per id."""
+    rows = profiled.groupBy("id").agg(F.min(F.struct("digest", "n_words", "split", "source")).alias("r"))
+    return rows.select("id", "r.digest", "r.n_words", "r.split", "r.source")
 
 
 def numbered(contents: DataFrame) -> DataFrame:
-    """Contents with a short number as `cid` and the digest of their bag as `digest`; materialised,
-    so the numbers stay."""
-    return cut(contents.withColumnRenamed("cid", "digest").withColumn("cid", F.monotonically_increasing_id()))
+    """Contents with a short number `cid`; materialised, so the numbers stay."""
+    return cut(contents.withColumn("cid", F.monotonically_increasing_id()))
+
+
+def packed(profiled: DataFrame, contents: DataFrame, *columns: str) -> DataFrame:
+    """(cid, n_words, columns) once per content (cid, digest), from any of its records; materialised."""
+    rows = profiled.select("digest", "n_words", *columns).dropDuplicates(["digest"])
+    return cut(rows.join(contents.select("digest", "cid"), "digest").select("cid", "n_words", *columns))
 
 
 def texts(records: DataFrame, reps: DataFrame) -> DataFrame:
     """(cid, text) of the representatives (cid, id)."""
     rows = records.filter("id is not null").select("id", F.coalesce(conversation(), F.lit("")).alias("text"))
     # a redelivered representative would double its rows
-    return rows.join(reps, "id").select("cid", "text").dropDuplicates(["cid"])
+    return rows.join(small(reps), "id").select("cid", "text").dropDuplicates(["cid"])
 
 
 def overlap(a: list[str], b: list[str]) -> float:
@@ -135,45 +174,27 @@ def overlap(a: list[str], b: list[str]) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def banded_common(a: list[str], b: list[str], band: int) -> int:
-    """Length of the longest common subsequence within `band` words of the diagonal (bit-parallel)."""
-    where: dict[str, int] = {}
-    for i, w in enumerate(a):
-        where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for j, w in enumerate(b):
-        near = (1 << min(len(a), j + band + 1)) - 1
-        if j > band:
-            near &= ~((1 << min(len(a), j - band)) - 1)
-        u = row & where.get(w, 0) & near
-        row = ((row + u) | (row - u)) & full
-    return len(a) - bin(row).count("1")
-
-
-def verified(pairs: DataFrame, contents: DataFrame, threshold: float = OVERLAP, band: int = 64) -> DataFrame:
-    """(a, b, overlap, aligned) of the pairs of contents (a, b) whose overlap reaches the threshold.
-
-    The exact bag overlap decides. `aligned` is the words of a banded alignment over the
-    words in either record, never more than the overlap, so it is found for accepted pairs only.
-    """
+def decided(pairs: DataFrame, contents: DataFrame, decide: Callable[[list[str], list[str], pd.Series], tuple | None], columns: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, columns) of the pairs of contents (a, b, extra) for which `decide` of their words
+    gives a tuple. Pairs too different in length for the overlap are dropped before."""
+    names = [c.split()[0] for c in columns.split(",")]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep, got, near = [], [], []
-            for i, (ta, tb) in enumerate(zip(batch["ta"], batch["tb"], strict=True)):
-                wa, wb = words(ta), words(tb)
-                if min(len(wa), len(wb)) < threshold * max(len(wa), len(wb)):
-                    continue
-                exact = overlap(wa, wb)
-                if exact >= threshold:
-                    common = banded_common(wa, wb, band)
-                    keep.append(i)
-                    got.append(exact)
-                    near.append(common / max(1, len(wa) + len(wb) - common))
-            yield pd.DataFrame({"a": batch["a"].iloc[keep], "b": batch["b"].iloc[keep], "overlap": got, "aligned": near})
+            known: dict[int, list[str]] = {}
+            rows = []
+            for row in batch.itertuples(index=False):
+                for cid, text in ((row.a, row.ta), (row.b, row.tb)):
+                    if cid not in known:
+                        known[cid] = words(text)
+                wa, wb = known[row.a], known[row.b]
+                if min(len(wa), len(wb)) >= OVERLAP * max(len(wa), len(wb)):
+                    got = decide(wa, wb, row)
+                    if got is not None:
+                        rows.append((row.a, row.b, *got))
+            yield pd.DataFrame(rows, columns=["a", "b", *names])
 
     one = contents.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     two = contents.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return rows.mapInPandas(check, "a long, b long, overlap double, aligned double")
+    rows = pairs.select("a", "b", *extra).join(one, "a").join(two, "b").select("a", "b", "ta", "tb", *extra)
+    return rows.mapInPandas(check, "a long, b long, " + columns)

@@ -8,8 +8,11 @@ deviation costs; flows are rounded to whole components, largest first, carrying
 remainder; members are then assigned by rank of their hash within the bundle.
 
 Only the bundle table reaches the driver: it has one row per distinct (size, profile),
-at most O(sqrt(rows)) many, and beyond `max_bundles` sizes and profiles are coarsened
-(to two leading digits) for the flow, never dropped.
+at most O(sqrt(rows)) many. Beyond `max_bundles` the bundles of most components stay as they
+are and the rarest ones are merged by the two leading digits of their size and by their
+profile; a merged bundle supplies the exact sum of its records, and its members are laid out
+by their exact sizes, so quotas and labels are kept and only the rounding (by at most one
+component a split) differs.
 
 Defined results: a null, blank or unregistered task name resolves to no task; records
 without a name are components of their own (keyed by id); repeated deliveries of an id
@@ -25,14 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from circuitlake.runtime import cut, small
+from circuitlake.runtime import cut, join_skewed, small
 
 SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 MAX_BUNDLES = 4096
 #: Hash buckets in which members are ranked: bounds each ranking group.
 RANK_BUCKETS = 1024
-#: Longest chain of renames that is followed.
-MAX_RENAMES = 64
 
 
 def name_key(name: Column) -> Column:
@@ -54,24 +55,23 @@ def name_key(name: Column) -> Column:
 def task_names(eval_task: DataFrame, task_alias: DataFrame) -> DataFrame:
     """(key, task): every known spelling key, old names resolved through all renames.
 
-    Both tables are dimensions; loops of renames resolve to nothing. If two tasks share
-    a key the smaller id is taken.
+    Both tables are dimensions. Pointers are doubled, so a chain of n renames takes log2(n)
+    rounds; what still moves after log2(all renames) rounds runs in a loop and resolves to
+    nothing. If two tasks share a key the smaller id is taken.
     """
     tasks = eval_task.filter("id is not null").select(name_key(F.col("id")).alias("key"), F.col("id").alias("task"))
     tasks = tasks.filter("key is not null").groupBy("key").agg(F.min("task").alias("task"))
     links = task_alias.select(name_key(F.col("old_id")).alias("key"), name_key(F.col("new_id")).alias("to"))
-    links = cut(links.filter("key is not null and to is not null and key <> to").groupBy("key").agg(F.min("to").alias("to")))
-    ends = links
-    for step in range(MAX_RENAMES):
-        hop = links.select(F.col("key").alias("to"), F.col("to").alias("next"))
-        hopped = ends.join(hop, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        hopped = cut(hopped)
-        moved = hopped.filter("moved and key <> to").limit(1).count()
+    ends = small(cut(links.filter("key is not null and to is not null and key <> to").groupBy("key").agg(F.min("to").alias("to"))))
+    for _ in range(ends.count().bit_length() + 1):
+        hop = small(ends.select(F.col("key").alias("to"), F.col("to").alias("next")))
+        hopped = cut(ends.join(hop, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         ends = hopped.select("key", "to")
-        if not moved:
+        if hopped.filter("moved").limit(1).count() == 0:
             break
-    old = ends.join(tasks.withColumnRenamed("key", "to"), "to").select("key", "task")
-    return tasks.unionByName(old.join(tasks.select("key"), "key", "left_anti"))
+    old = ends.join(tasks.withColumnRenamed("key", "to"), "to").select("key", "task")  # the names of a loop are no ends
+    looped = ends.join(ends.select(F.col("key").alias("to")), "to", "left_semi").select("key")
+    return tasks.unionByName(old.join(tasks.select("key"), "key", "left_anti").join(looped, "key", "left_anti"))
 
 
 def resolve(records: DataFrame, eval_task: DataFrame, task_alias: DataFrame) -> DataFrame:
@@ -170,6 +170,17 @@ def _two_digits(c: Column) -> Column:
     return (F.floor(c / scale) * scale).cast("long")
 
 
+def _bundled(comps: DataFrame, max_bundles: int) -> DataFrame:
+    """Components with their bundle: (bundle, merged, profile), bundle being the exact size or a merged one's size class."""
+    table = comps.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n"))
+    if table.limit(max_bundles + 1).count() <= max_bundles:
+        return comps.withColumn("bundle", F.col("size")).withColumn("merged", F.lit(False))
+    kept = cut(table.orderBy(F.desc("n"), "size", "profile").limit(max_bundles // 2).select("size", "profile"))
+    kept = F.broadcast(kept.withColumn("kept", F.lit(True)))  # at most max_bundles / 2 rows
+    comps = comps.join(kept, ["size", "profile"], "left").withColumn("merged", F.col("kept").isNull()).drop("kept")
+    return comps.withColumn("bundle", F.when(F.col("merged"), _two_digits(F.col("size"))).otherwise(F.col("size")))
+
+
 def assign(records: DataFrame, eval_task: DataFrame, task_alias: DataFrame, splits=SPLITS, max_bundles: int = MAX_BUNDLES) -> DataFrame:
     """(id, component, task_id, split): the split of every record, whole components together."""
     spark = records.sparkSession
@@ -182,42 +193,40 @@ def assign(records: DataFrame, eval_task: DataFrame, task_alias: DataFrame, spli
     # label profile: successes of small components exactly, their share in tenths beyond
     profile = F.when(F.col("size") <= 10, F.col("good")).otherwise(F.round(F.col("good") * 10 / F.col("size"))).cast("long")
     comps = cut(comps.select("component", "size", profile.alias("profile"), F.xxhash64("component").alias("h")))
-    table = comps.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n"))
-    if table.limit(max_bundles + 1).count() > max_bundles:
-        comps = comps.withColumn("profile", F.lit(0).cast("long")).withColumn("size", _two_digits(F.col("size")))
-        table = comps.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n"))
-    bundles = table.orderBy("size", "profile").collect()  # at most max_bundles, or 90 per power of ten
+    comps = _bundled(comps, max_bundles)
+    table = comps.groupBy("bundle", "merged", "profile").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("supply"))
+    bundles = table.orderBy("bundle", "profile", "merged").collect()  # bounded, see the module
     names, shares = [s for s, _ in splits], np.array([p for _, p in splits])
-    schema = "size long, profile long, lo long, hi long, split string"
-    if not bundles:
-        ranges = spark.createDataFrame([], schema)
-    else:
-        sizes, counts = np.array([b["size"] for b in bundles], np.int64), np.array([b["n"] for b in bundles], np.int64)
-        total = int((sizes * counts).sum())
+    schema = "bundle long, merged boolean, profile long, lo long, hi long, split string"
+    ranges, total = [], 0
+    if bundles:
+        supply, counts = np.array([b["supply"] for b in bundles], np.int64), np.array([b["n"] for b in bundles], np.int64)
+        sizes = np.maximum(1, supply // counts)
+        total = int(supply.sum())
         quotas = np.floor(shares * total).astype(np.int64)
         quotas[0] += total - quotas.sum()
-        flow = min_cost_flow(sizes * counts, sizes, counts, shares, quotas)
-        whole = round_flow(flow, sizes, counts)
-        ranges = []
-        for b, row in enumerate(bundles):
+        flow = min_cost_flow(supply, sizes, counts, shares, quotas)
+        exact = np.array([not b["merged"] for b in bundles])
+        out = flow.astype(np.int64)  # records a split gets of a merged bundle
+        out[exact] = round_flow(flow[exact], sizes[exact], counts[exact]) * sizes[exact][:, None]
+        for row, parts in zip(bundles, out, strict=True):
             lo = 0
-            for s, c in enumerate(whole[b]):
-                if c:
-                    ranges.append((row["size"], row["profile"], lo, lo + int(c), names[s]))
-                lo += int(c)
-        ranges = spark.createDataFrame(ranges, schema)
-    # rank by hash within the bundle: bucket offsets first, then ranks inside each bucket
-    bucket = F.pmod(F.shiftrightunsigned("h", 40), F.lit(RANK_BUCKETS)).cast("int")
-    comps = comps.withColumn("bucket", bucket)
-    offsets = comps.groupBy("size", "profile", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("size", "profile").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    inner = Window.partitionBy("size", "profile", "bucket").orderBy("h", "component")
-    ranked = comps.withColumn("rn", F.row_number().over(inner) - 1).join(offsets, ["size", "profile", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("rn") + F.col("offset"))
-    placed = ranked.join(F.broadcast(ranges), ["size", "profile"]).filter("rank >= lo and rank < hi").select("component", "split")
-    # the hot component's records are not gathered: its row is on the other side of the join
-    return rows.join(placed, "component").select("id", "component", "task_id", "split")
+            for s, n in enumerate(parts):
+                if n:
+                    ranges.append((row["bundle"], row["merged"], row["profile"], lo, lo + int(n), names[s]))
+                lo += int(n)
+    ranges = spark.createDataFrame(ranges, schema)
+    # members in the order of their hash, laid end to end by size: offsets of hash buckets first, then inside each bucket
+    key = ["bundle", "merged", "profile"]
+    comps = comps.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(RANK_BUCKETS)).cast("int"))
+    offsets = comps.groupBy(*key, "bucket").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = Window.partitionBy(*key, "bucket").orderBy("h", "component").rowsBetween(Window.unboundedPreceding, -1)
+    laid = comps.withColumn("here", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, [*key, "bucket"])
+    middle = 2 * (F.col("offset") + F.col("here")) + F.col("size")
+    placed = laid.withColumn("middle", middle).join(F.broadcast(ranges), key).filter("middle >= 2 * lo and middle < 2 * hi").select("component", "split", "size")
+    return join_skewed(rows, cut(placed), "component", "size", total).select("id", "component", "task_id", "split")
 
 
 def found(records: DataFrame, eval_task: DataFrame, task_alias: DataFrame) -> DataFrame:
@@ -230,3 +239,13 @@ def report(assigned: DataFrame) -> DataFrame:
     per = totals.groupBy("split").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("components"))
     everything = F.sum("records").over(Window.partitionBy())
     return per.withColumn("share", F.round(F.col("records") / everything, 4))
+
+
+def whole(assigned: DataFrame, splits=SPLITS) -> DataFrame:
+    """One row that any right result has alike: records, torn components (0), and whether every
+    split but the first is within one hundredth of all records of its quota."""
+    per = assigned.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"))
+    torn = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.sum((F.col("splits") > 1).cast("long")).alias("torn"))
+    near = [F.abs(F.sum((F.col("split") == s).cast("long")) - F.count(F.lit(1)) * p) <= F.count(F.lit(1)) * 0.01 for s, p in splits]
+    near = assigned.agg(*[n.alias(f"near_{s}") for n, (s, _) in zip(near, splits, strict=True)])
+    return torn.crossJoin(near)  # one row each
