@@ -11,11 +11,11 @@ overlap of their bags, which is what the overlap is defined on; an aligned pair
 that overlap too. At overlap 0.8 a pair is missed with probability 6e-5, less above.
 Groups are the components of the links.
 
-Buckets of at most `ALL_PAIRS` contents are paired in full. A larger bucket is not: each
-member is first compared with the bucket's leader (another member for each bucket) and
-the components are found; then only members of different components are still compared,
-and only where they meet in two more buckets, so no pair that meets three times is lost and
-a large group of near-copies costs one comparison a member and bucket. This changes which
+Buckets of up to `ALL_PAIRS` contents are paired in full. Crowded buckets are not: each member
+is first paired with the bucket's leader (of smallest hash, so mostly the same one in all
+buckets of a group) and the components are found; then only members of different components
+are still compared, and only where they meet in two more buckets, so no pair that meets three
+times is lost and a large group of near-copies costs about one comparison a member. This changes which
 links are looked at inside a component that holds together anyway, never the components;
 `n_links` is therefore counted afterwards, over all pairs of a component, in blocks.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,34 +92,66 @@ def _met(one: str, two: str) -> Column:
     return F.expr(f"{one}.cid < {two}.cid and least({one}.n, {two}.n) >= {rec.OVERLAP} * greatest({one}.n, {two}.n)")
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): the sketch keys that stand twice or more in a batch of contents."""
+    for b in batches:
+        keys, n = np.unique(b.column("sketches").flatten().to_numpy() >> 8, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"key": keys[n > 1], "n": n[n > 1]})
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ordered) per shared bucket of contents of like length, from one part of the rows (s, cid, n)."""
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "cid", "n")] for b in batches]
+    if not parts:
+        return
+    s, cid, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
+    by = np.lexsort((cid, s >> 8))
+    s, cid, n = s[by], cid[by], n[by]
+    starts = np.flatnonzero(np.concatenate([[True], (s[1:] >> 8) != (s[:-1] >> 8)]))
+    sizes = np.diff(np.append(starts, len(s)))
+    for size in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(size, 1)
+        groups = starts[sizes == size]
+        step = max(1, (1 << 20) // len(i))
+        for at in range(0, len(groups), step):
+            one = (groups[at : at + step, None] + i[None, :]).ravel()
+            two = (groups[at : at + step, None] + j[None, :]).ravel()
+            like = np.minimum(n[one], n[two]) >= rec.OVERLAP * np.maximum(n[one], n[two])
+            one, two = one[like], two[like]
+            yield pa.RecordBatch.from_pydict({"a": cid[one], "b": cid[two], "ordered": s[one] == s[two]})
+
+
 def links(records: DataFrame, reps: DataFrame, packed: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(a, b, aligned) with a < b: verified links between contents; enough of them inside large
     buckets to connect what is connected. packed: (cid, n_words, sketches)."""
+    # a bucket with more contents than there are batches stands twice in one of them
+    crowded = packed.select("sketches").mapInArrow(_repeated, "key long, n long").groupBy("key").agg(F.sum("n").alias("size"))
+    crowded = small(cut(crowded.filter(F.col("size") > all_pairs).select("key")))
+    some = crowded.limit(1).count() > 0
     rows = packed.select("cid", F.col("n_words").alias("n"), F.explode("sketches").alias("s"))
-    rows = rows.select("cid", "n", F.shiftright("s", 8).alias("key"), F.col("s").bitwiseAND(255).cast("short").alias("order"))
-    first = F.min_by(F.struct("cid", "n", "order"), F.xxhash64("key", "cid"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), first.alias("leader"))
-    crowded = small(cut(sizes.filter(F.col("size") > all_pairs)))
-
-    sparse = rows.join(crowded.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("cid", "n", "order")).alias("in"))
-    sparse = sparse.filter(F.size("in") > 1)  # of at most all_pairs entries
-    met = sparse.select("in", F.explode("in").alias("x")).select("x", F.explode("in").alias("y")).filter(_met("x", "y"))
-    large = rows.join(crowded, "key")
-    starred = large.select(F.struct("cid", "n", "order").alias("one"), F.col("leader").alias("two")).filter("one.cid <> two.cid")
-    starred = starred.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).filter(_met("x", "y"))
-    met = met.select("x", "y", F.lit(1).alias("w")).union(starred.select("x", "y", F.lit(rec.MEETINGS).alias("w")))
-    met = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), "w", F.expr("x.order = y.order").alias("ordered"))
+    rows = rows.withColumn("key", F.shiftright("s", 8))
+    sparse = rows.join(crowded, "key", "left_anti") if some else rows
+    met = sparse.repartition("key").select("s", "cid", "n").mapInArrow(_bucket_pairs, "a long, b long, ordered boolean")
+    large = rows.join(crowded, "key").select("key", "cid", "n", F.col("s").bitwiseAND(255).cast("short").alias("order"))
+    if some:
+        large = cut(large)
+        leader = large.groupBy("key").agg(F.min_by(F.struct("cid", "n", "order"), F.xxhash64("cid")).alias("leader"))
+        starred = large.join(small(leader), "key").select(F.struct("cid", "n", "order").alias("one"), F.col("leader").alias("two"))
+        starred = starred.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).filter(_met("x", "y"))
+        met = met.union(starred.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.expr("x.order = y.order").alias("ordered")))
+    met = met.withColumn("w", F.lit(1))
     candidates = met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("ordered").alias("ordered")).filter(F.col("w") >= rec.MEETINGS)
     candidates = cut(candidates.select("a", "b", "ordered"))
     near = verified(records, reps, candidates)
-    if crowded.limit(1).count() == 0:
+    if not some:
         return near
     # members of large buckets that are still apart: compare those that meet in two more
     roots = connected_components(near)
-    large = large.select("key", "cid", "n").join(small(roots.withColumnRenamed("node", "cid")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    large = large.drop("order").join(small(roots.withColumnRenamed("node", "cid")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     apart = cut(large.join(small(cut(mixed)), "key"))
-    others = rows.select("cid", F.col("key").alias("second"), "order")
+    others = rows.select("cid", F.col("key").alias("second"), F.col("s").bitwiseAND(255).cast("short").alias("order"))
     refined = apart.join(others, "cid").filter("second <> key")
     refined = refined.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("both"), "cid", "n", "root", "order").dropDuplicates(["both", "cid"])
     still = refined.groupBy("both").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("both")
