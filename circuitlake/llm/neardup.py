@@ -34,7 +34,7 @@ from circuitlake.llm import records as rec
 from circuitlake.llm.components import connected_components
 from circuitlake.runtime import cut, join_skewed, small
 
-ALL_PAIRS = 32
+ALL_PAIRS = 256
 #: Words left and right of the diagonal that an alignment may wander.
 BAND = 64
 #: Contents and words of a block in which links are counted, and tokens compared at once.
@@ -151,8 +151,8 @@ def links(records: DataFrame, reps: DataFrame, packed: DataFrame, all_pairs: int
     large = large.drop("order").join(small(roots.withColumnRenamed("node", "cid")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     apart = cut(large.join(small(cut(mixed)), "key"))
-    others = rows.select("cid", F.col("key").alias("second"), F.col("s").bitwiseAND(255).cast("short").alias("order"))
-    refined = apart.join(others, "cid").filter("second <> key")
+    refined = apart.join(packed.select("cid", "sketches"), "cid").select("key", "cid", "n", "root", F.explode("sketches").alias("s"))
+    refined = refined.select("*", F.shiftright("s", 8).alias("second"), F.col("s").bitwiseAND(255).cast("short").alias("order")).filter("second <> key")
     refined = refined.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("both"), "cid", "n", "root", "order").dropDuplicates(["both", "cid"])
     still = refined.groupBy("both").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("both")
     refined = cut(refined.join(still, "both"))
