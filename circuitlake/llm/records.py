@@ -58,7 +58,7 @@ ROWS = 8
 #: probability 6e-5 (binomial of 80 at 0.8 ** 8), less above; this is the only loss.
 MEETINGS = 3
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"bag {j}") for j in range(BANDS * ROWS)], np.uint64)
-_FLIPS, _FACTORS = (_SEEDS >> _U(32)).astype(np.uint32), _SEEDS.astype(np.uint32) | np.uint32(1)
+_FACTORS = _SEEDS.astype(np.uint32) | np.uint32(1)
 _PLACES = np.array([xxhash.xxh64_intdigest(f"place {j}") for j in range(BANDS * ROWS)], np.uint64) | _U(1)
 _ORDER = _U(255)
 #: Ranks of words under some of the hash functions at once; stays in the processor's cache.
@@ -100,8 +100,7 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     for at in range(0, BANDS * ROWS, step):
         n = min(step, BANDS * ROWS - at)
         table = ranks[: n * len(labelled)].reshape(n, len(labelled))
-        np.bitwise_xor(labelled[None, :], _FLIPS[at : at + n, None], out=table)
-        np.multiply(table, _FACTORS[at : at + n, None], out=table)
+        np.multiply(labelled[None, :], _FACTORS[at : at + n, None], out=table)
         where[at : at + n] = table.argmin(1)
     low = labelled[where].astype(np.uint64)
     with np.errstate(over="ignore"):
