@@ -5,8 +5,10 @@ over hashed features of its folded words (disguises undone: letter case, look-al
 digits and signs, repeated or spaced-out letters); the document's score is the noisy-or
 of its sentences. The sentence weights are trained through the noisy-or from document
 ratings, whose error rates are estimated along the way, so offending sentences are
-located without sentence labels. A document is bad if its worst sentence reaches the
-cutoff: unlike the noisy-or, this does not drift with length.
+located without sentence labels. A document is bad if its noisy-or reaches the cutoff.
+A plain noisy-or grows with length, as every harmless sentence adds its little probability;
+the evidence that 99.5 percent of the sentences of harmless rated documents stay below is
+therefore taken off each sentence (`Model.quiet`), so that the score does not drift with length.
 
 The classifier is fitted on at most `MAX_LABELLED` rated documents (those of smallest
 hash), every document is scored on its whole text, rates cover all documents.
@@ -30,13 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circuitlake.runtime import spread
+
 BITS = 18
 #: Sentences count as having at least SHORT and at most LONG features.
 SHORT, LONG = 16, 64
 #: At most this many rated documents are used to fit the sentence model.
 MAX_LABELLED = 10_000
-#: Posterior of a sentence from which it counts as offending. Ratings of held-out documents
-#: are fitted alike for all cutoffs from 0.07 to 0.3 (tests/llm), where hardly any sentence falls.
+#: Score of a document from which it is bad, and probability from which a sentence is
+#: offending. Ratings of held-out documents are fitted alike for all cutoffs from 0.07 to 0.3
+#: (tests/llm), where hardly any document falls.
 CUTOFF = 0.1
 
 # Prior: stems that are abusive or sexual in common use, in the languages of the corpus.
@@ -146,16 +151,37 @@ def damping(n_features):
     return 1.0 / np.sqrt(np.clip(n_features, SHORT, LONG))
 
 
+#: Share of harmless sentences whose evidence is taken for none; its level without ratings.
+CALM, QUIET = 0.995, 0.02
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
+    #: Evidence -log(1 - p) that harmless sentences stay below.
+    quiet: float = QUIET
 
     def score(self, features: list[np.ndarray]) -> np.ndarray:
-        z = np.array([self.weights[f].sum() * damping(len(f)) for f in features]) + self.bias
+        """Probabilities of sentences, in one gather."""
+        if not features:
+            return np.empty(0)
+        lengths = np.array([len(f) for f in features])
+        row = np.repeat(np.arange(len(features)), lengths)
+        z = np.bincount(row, self.weights[np.concatenate(features)], len(features)) * damping(lengths) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def noisy_or(p: np.ndarray, bag: np.ndarray, n_bags: int, quiet: float) -> np.ndarray:
+    """Calibrated noisy-or of the sentences of each bag."""
+    evidence = np.maximum(-np.log1p(-np.minimum(p, 1 - 1e-12)) - quiet, 0.0)
+    return -np.expm1(-np.bincount(bag, evidence, n_bags))
+
+
+#: Weight of the prior terms where no rating helps.
+ALONE = 20.0
+
+
 def prior_weights(strength: float = 14.0) -> np.ndarray:
     w = np.zeros(1 << BITS)
     feats = Featurizer()
@@ -174,10 +200,10 @@ def fit(
     Minimises the cross entropy of the ratings, seen through the raters' error rates
     (re-estimated while training), plus the squared distance of weights to their prior.
     """
+    if not len(rated) or not len(lengths):
+        return Model(prior_weights(ALONE), -6.0)
     prior = prior_weights()
     w, bias = prior.copy(), -6.0
-    if not len(rated) or not len(lengths):
-        return Model(w, bias)
     # equal sentences are kept once, found by a digest of their sorted features
     row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     with np.errstate(over="ignore"):
@@ -228,7 +254,11 @@ def fit(
             post = np.where(rated == 1, (1 - e1) * doc / q, e1 * doc / (1 - q))
             e1 = float(np.clip(((1 - rated) * post).sum() / max(post.sum(), 1.0), 0.01, 0.3))
             e0 = float(np.clip((rated * (1 - post)).sum() / max((1 - post).sum(), 1.0), 0.005, 0.2))
-    return Model(w, float(bias))
+    p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, weights=w[flat], minlength=n_sent) * scale + bias, -30, 30)))[sent_of]
+    top = np.zeros(n_bags)
+    np.maximum.at(top, bag_of_sent, p)
+    calm = p[(top < CUTOFF)[bag_of_sent]]
+    return Model(w, float(bias), float(np.quantile(-np.log1p(-calm), CALM)) if len(calm) else QUIET)
 
 
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -269,29 +299,28 @@ def score(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         feats, known = Featurizer(), {}
-
-        def posterior(sentence: str) -> float:
-            """Sentences that differ only in numbers have the same features and are scored once."""
-            key = _QUANTITY.sub("0", sentence)
-            p = known.get(key)
-            if p is None:
-                p = float(shared.value.score([feats.sentence(key)])[0])
-                if len(known) < KNOWN_SENTENCES:
-                    known[key] = p
-            return p
-
         for b in batches:
-            scores, worst, where, n_bad = [], [], [], []
-            for text in b["text"]:
-                sents = sentences(text) if isinstance(text, str) else []
-                p = np.array([posterior(s) for s in sents])
-                scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
-                worst.append(float(p.max()) if len(p) else 0.0)
-                where.append(sents[int(p.argmax())] if len(p) and p.max() >= cutoff else None)
-                n_bad.append(int((p >= cutoff).sum()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": scores, "worst": worst, "worst_sentence": where, "n_bad": n_bad})
-
-    rows = documents.filter("doc_id is not null").select("doc_id", "source", "text")
+            bags = [sentences(t) if isinstance(t, str) else [] for t in b["text"]]
+            # sentences that differ only in numbers have the same features and are scored once
+            keys = [_QUANTITY.sub("0", s) for bag in bags for s in bag]
+            new = [k for k in dict.fromkeys(keys) if k not in known]
+            if len(known) + len(new) > KNOWN_SENTENCES:
+                known, new = {}, list(dict.fromkeys(keys))
+            for at in range(0, len(new), 4096):
+                part = new[at : at + 4096]
+                known.update(zip(part, shared.value.score([feats.sentence(k) for k in part]).tolist(), strict=True))
+            p = np.array([known[k] for k in keys])
+            sizes = np.array([len(bag) for bag in bags], np.int64)
+            of = np.repeat(np.arange(len(bags)), sizes)
+            worst, n_bad, where = np.zeros(len(bags)), np.bincount(of[p >= cutoff], minlength=len(bags)), []
+            np.maximum.at(worst, of, p)
+            ends = np.cumsum(sizes)
+            for i, bag in enumerate(bags):
+                where.append(bag[int(p[ends[i] - sizes[i] : ends[i]].argmax())] if worst[i] >= cutoff else None)
+            got = {"score": noisy_or(p, of, len(bags), shared.value.quiet), "worst": worst, "worst_sentence": where, "n_bad": n_bad}
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "source": b["source"].to_numpy(), **got})
+
+    rows = spread(documents.filter("doc_id is not null").select("doc_id", "source", "text"))
     return rows.mapInPandas(run, "doc_id long, source string, score double, worst double, worst_sentence string, n_bad int")
 
 
@@ -300,13 +329,21 @@ def scored(documents: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> D
 
 
 def found(documents: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    return scored(documents, labels, cutoff).filter(F.col("worst") >= cutoff).select("doc_id").distinct()
+    return scored(documents, labels, cutoff).filter(F.col("score") >= cutoff).select("doc_id").distinct()
 
 
 def rates(documents: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Per source: documents, bad ones, their share and the mean score."""
-    rows = scored(documents, labels, cutoff)
-    bad = F.sum((F.col("worst") >= cutoff).cast("long"))
+    """Per source: documents, bad ones, their share and the mean score; a doc_id counts once a source."""
+    rows = scored(documents, labels, cutoff).groupBy("doc_id", "source").agg(F.max("score").alias("score"))
+    bad = F.sum((F.col("score") >= cutoff).cast("long"))
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), bad.alias("bad"), F.round(bad / F.count(F.lit(1)), 4).alias("rate"), F.round(F.avg("score"), 4).alias("mean_score")
     )
+
+
+def whole(documents: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Per source what any right scoring has alike: documents scored, and how many scores lie
+    outside 0..1, are bad without text, or name a sentence that is not in the text (all 0)."""
+    rows = scored(documents, labels, cutoff).join(documents.select("doc_id", "text"), "doc_id")
+    odd = ~F.col("score").between(0, 1) | (F.col("text").isNull() & (F.col("score") > 0)) | ~F.coalesce(F.expr("contains(text, worst_sentence)"), F.lit(True))
+    return rows.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.coalesce(F.sum(odd.cast("long")), F.lit(0)).alias("odd"))

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circuitlake.llm import labelmodel
-from circuitlake.runtime import cut
+from circuitlake.runtime import cut, small, spread
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Posterior cutoffs; tests/llm checks them on hand-made cases of every kind.
@@ -118,30 +119,24 @@ def phrases(text: str) -> list[tuple[list[str], bool]]:
 
 
 def _key(tokens: list[str]) -> int:
-    return zlib.crc32(" ".join(tokens).encode()) | len(tokens) << 32
+    """A 64-bit key of tokens, as a signed number."""
+    return xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63)
 
 
 TAILS = (6, 5, 4, 3, 2)
 
 
-def _ending_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of n-grams that end a terminated sentence and that go on."""
-    for b in batches:
-        ends: Counter = Counter()
-        mids: Counter = Counter()
-        for prompt, response in zip(b["prompt"], b["response"], strict=True):
-            for text in (plain(prompt), plain(response)):
-                for tokens, terminated in phrases(text[:-3] if is_cut(text) else text):
-                    padded = ["^"] + tokens
-                    for i in range(1, len(padded)):
-                        last = i == len(padded) - 1
-                        if last and not terminated:
-                            continue
-                        for n in TAILS:
-                            if i + 1 >= n:
-                                (ends if last else mids)[_key(padded[i + 1 - n : i + 1])] += 1
-        keys = list(ends.keys() | mids.keys())
-        yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "ends": [ends[k] for k in keys], "mids": [mids[k] for k in keys]})
+def count_endings(text: str, ends: Counter, mids: Counter) -> None:
+    """Count the n-grams that end a terminated sentence and those that go on."""
+    for tokens, terminated in phrases(text[:-3] if is_cut(text) else text):
+        padded = ["^"] + tokens
+        for i in range(1, len(padded)):
+            last = i == len(padded) - 1
+            if last and not terminated:
+                continue
+            for n in TAILS:
+                if i + 1 >= n:
+                    (ends if last else mids)[_key(padded[i + 1 - n : i + 1])] += 1
 
 
 def by_words(words: list[str]) -> str | None:
@@ -168,24 +163,11 @@ def _prose(text: str) -> str:
     return re.sub(r"```[^`]*(?:```|$)", " ", text)
 
 
-def _language_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        counts: dict[str, np.ndarray] = {}
-        for text in b["response"]:
-            prose = _prose(plain(text))
-            lang = by_words(_WORD.findall(prose.lower()))
-            if lang:
-                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                np.add.at(counts[lang], trigrams(prose), 1)
-        rows = [(lang, int(i), int(c[i])) for lang, c in counts.items() for i in np.flatnonzero(c)]
-        yield pd.DataFrame(rows, columns=["lang", "bucket", "n"]).astype({"bucket": "int32", "n": "int64"})
-
-
 class Trigrams:
     """Naive Bayes over hashed letter trigrams, learned from the table's own texts."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        self.langs = sorted(lang for lang in counts if counts[lang].sum() >= 500)
+        self.langs = sorted(counts)  # a language of few texts is smoothed towards no language
         self.logs = [np.log((counts[lang] + 0.1) / (counts[lang].sum() + 0.1 * BUCKETS)) for lang in self.langs]
 
     def __call__(self, text: str) -> str | None:
@@ -209,8 +191,12 @@ def requested(prompt: str) -> set[str]:
 
 
 def without_prompt(response: list[str], prompt: list[str]) -> tuple[list[str], int, int]:
-    """(words left after taking out all copies of the prompt, copies, words before the first copy)."""
-    if len(prompt) < 3:
+    """(words left after taking out all copies of the prompt, copies, words before the first copy).
+
+    A prompt of one or two words may stand in any answer; it counts as copied only if the
+    answer is nothing but copies of it.
+    """
+    if not prompt or len(prompt) < 3 and response != prompt * (len(response) // len(prompt)):
         return response, 0, 0
     left, copies, before, i = [], 0, 0, 0
     while i < len(response):
@@ -232,33 +218,13 @@ def tail_key(response: str) -> list[str] | None:
     return got[-1][0] if got else None
 
 
-# Labelling functions per defect with their prior rates of the votes -1, 0, +1 for clean and for defective pairs.
+# Labelling functions per defect with the prior chance that they vote +1, if they vote, on a clean and on a defective pair.
 FUNCTIONS = {
-    "empty": {"no_words": [(0.96, 0.03, 0.01), (0.25, 0.05, 0.70)], "placeholder": [(0.96, 0.03, 0.01), (0.02, 0.03, 0.95)]},
-    "truncated": {
-        "open_fence": [(0.10, 0.895, 0.005), (0.05, 0.70, 0.25)],
-        "dangling": [(0.10, 0.895, 0.005), (0.05, 0.80, 0.15)],
-        "end_mark": [(0.85, 0.14, 0.01), (0.005, 0.985, 0.01)],
-        "tail": [(0.15, 0.84, 0.01), (0.01, 0.29, 0.70)],
-        "short_form": [(0.20, 0.79, 0.01), (0.0005, 0.9895, 0.01)],
-    },
-    "refusal": {
-        "inability": [(0.10, 0.895, 0.005), (0.02, 0.13, 0.85)],
-        "apology": [(0.05, 0.945, 0.005), (0.02, 0.58, 0.40)],
-        "meta": [(0.05, 0.94, 0.01), (0.02, 0.38, 0.60)],
-        "redirect": [(0.05, 0.945, 0.005), (0.02, 0.68, 0.30)],
-        "no_numbers": [(0.80, 0.15, 0.05), (0.10, 0.10, 0.80)],
-    },
-    "copy": {
-        "only_prompt": [(0.97, 0.025, 0.005), (0.02, 0.03, 0.95)],
-        "covered": [(0.93, 0.06, 0.01), (0.03, 0.05, 0.92)],
-        "letters": [(0.95, 0.04, 0.01), (0.05, 0.05, 0.90)],
-    },
-    "other_language": {
-        "function_words": [(0.88, 0.11, 0.01), (0.03, 0.12, 0.85)],
-        "letters": [(0.20, 0.79, 0.01), (0.02, 0.58, 0.40)],
-        "trigrams": [(0.88, 0.11, 0.01), (0.03, 0.12, 0.85)],
-    },
+    "empty": {"no_words": (0.01, 0.90), "placeholder": (0.01, 0.95)},
+    "truncated": {"open_fence": (0.005, 0.25), "dangling": (0.005, 0.15), "no_end_mark": (0.08, 0.99), "tail": (0.02, 0.97), "new_form": (0.30, 0.99)},
+    "refusal": {"inability": (0.005, 0.85), "apology": (0.005, 0.40), "meta": (0.01, 0.60), "redirect": (0.005, 0.30), "no_numbers": (0.06, 0.90)},
+    "copy": {"only_prompt": (0.005, 0.95), "covered": (0.01, 0.95), "letters": (0.01, 0.94)},
+    "other_language": {"function_words": (0.01, 0.96), "letters": (0.02, 0.95), "trigrams": (0.01, 0.96)},
 }
 SHARES = {"empty": 0.04, "truncated": 0.06, "refusal": 0.05, "copy": 0.04, "other_language": 0.05}
 
@@ -271,7 +237,7 @@ def votes(prompt_text: str | None, response_text: str | None, tail: float | None
     """Votes of every labelling function, in the order of FUNCTIONS.
 
     tail: share of the tail's occurrences that end a sentence; tail_seen: occurrences;
-    form_share: share of all rows whose whole response has this shape.
+    form_share: share of all prompts to which some response of this shape was given.
     """
     prompt, response = plain(prompt_text), plain(response_text)
     words = folded(response)
@@ -288,7 +254,8 @@ def votes(prompt_text: str | None, response_text: str | None, tail: float | None
     else:
         stops = tail_key(response)
         # a short answer that recurs as a whole is whole, whatever its end looks like inside sentences
-        whole = len(words) <= 8 and form_share >= 0.002 and not _DANGLING.search(response) and not fences
+        short = len(words) <= 8 and not ends and not fences
+        whole = short and form_share >= 0.002 and not _DANGLING.search(response)
         if stops is None or fences % 2:
             tail_vote = 0
         elif whole or (copies and not left):
@@ -297,26 +264,15 @@ def votes(prompt_text: str | None, response_text: str | None, tail: float | None
             tail_vote = 1
         else:
             tail_vote = 1 if tail <= 0.15 else -1 if tail >= 0.5 else 0
-        out["truncated"] = [
-            1 if fences % 2 else 0,
-            1 if _DANGLING.search(response) and not fences % 2 else 0,
-            -1 if ends and not fences % 2 else 0,
-            tail_vote,
-            -1 if whole else 0,
-        ]
+        out["truncated"] = [_sign(fences % 2 == 1), _sign(bool(_DANGLING.search(response)) and not fences % 2), _sign(not ends or fences % 2 == 1), tail_vote, _sign(not whole) if short else 0]
 
     rest = " ".join(left) if copies else response
     told = re.sub(r"[’`]", "'", response.lower())
     if holder or (copies and not left):
-        out["refusal"] = [-1, 0, 0, 0, -1]
+        out["refusal"] = [-1, -1, -1, -1, -1]
     else:
-        out["refusal"] = [
-            1 if _INABILITY.search(told) else 0,
-            1 if _APOLOGY.search(told) else 0,
-            1 if _META.search(told) else 0,
-            1 if _REDIRECT.search(told) else 0,
-            -1 if re.search(r"\d", rest) else 1 if len(left) >= 3 else 0,
-        ]
+        out["refusal"] = [_sign(bool(cue.search(told))) for cue in (_INABILITY, _APOLOGY, _META, _REDIRECT)]
+        out["refusal"].append(-1 if re.search(r"\d", rest) else 1 if len(left) >= 3 else 0)
 
     if not prompt_words or holder:
         out["copy"] = [-1, -1, -1]
@@ -345,49 +301,60 @@ def votes(prompt_text: str | None, response_text: str | None, tail: float | None
     return out
 
 
-def _collect_counts(rows: list) -> dict[str, np.ndarray]:
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
-    return out
+STATISTICS = "keys array<long>, ends array<long>, mids array<long>, grams array<int>, n_grams array<long>"
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per row the shape of the whole response and the keys of its tail."""
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row the shape of the whole response and the keys of its tail; the first row of a
+    batch carries the batch's counts of endings and of letter trigrams per language."""
     for b in batches:
-        forms, keys = [], []
-        for response in b["response"]:
+        ends: Counter = Counter()
+        mids: Counter = Counter()
+        grams = np.zeros(len(LANGS) * BUCKETS, np.int64)
+        forms, tails = [], []
+        for prompt, response in zip(b["prompt"], b["response"], strict=True):
             text = plain(response)
-            forms.append(zlib.crc32(" ".join(shape(text)).encode()))
+            count_endings(plain(prompt), ends, mids)
+            count_endings(text, ends, mids)
+            prose = _prose(text)
+            lang = by_words(_WORD.findall(prose.lower()))
+            if lang:
+                np.add.at(grams, trigrams(prose) + LANGS.index(lang) * BUCKETS, 1)
+            forms.append(_key(shape(text)))
             tokens = tail_key(text)
             padded = ["^"] + tokens if tokens else []
-            keys.append([_key(padded[-n:]) for n in TAILS if len(padded) >= n])
-        b["form"] = forms
-        b["tails"] = keys
-        yield b
+            tails.append([_key(padded[-n:]) for n in TAILS if len(padded) >= n])
+        keys = list(ends.keys() | mids.keys())
+        seen = np.flatnonzero(grams)
+        first = (keys, [ends[k] for k in keys], [mids[k] for k in keys], seen.astype(np.int32), grams[seen])
+        rest = [((), (), (), (), ())] * (len(b) - 1)
+        counts = pd.DataFrame([first, *rest][: len(b)], columns=["keys", "ends", "mids", "grams", "n_grams"])
+        yield pd.concat([pd.DataFrame({"id": b["id"], "prompt": b["prompt"], "response": b["response"], "form": forms, "tails": tails}).reset_index(drop=True), counts], axis=1)
 
 
 def label(pairs: DataFrame) -> DataFrame:
     """(id, defect, posterior) for every pair and defect, from pairs (id, prompt, response)."""
     spark = pairs.sparkSession
     base = pairs.filter("id is not null").groupBy("id").agg(F.min(F.struct(F.col("response").isNull().alias("z"), "response", "prompt")).alias("r"))
-    base = cut(base.select("id", "r.prompt", "r.response"))
-    total = base.count()
+    rows = cut(spread(base.select("id", "r.prompt", "r.response")).mapInPandas(_read, "id string, prompt string, response string, form long, tails array<long>, " + STATISTICS))
     # statistics over all rows
-    endings = base.select("prompt", "response").mapInPandas(_ending_counts, "key long, ends long, mids long")
-    endings = endings.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
-    counts = base.select("response").mapInPandas(_language_counts, "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most len(LANGS) * BUCKETS rows
-    model = spark.sparkContext.broadcast(Trigrams(_collect_counts(counts)))
-
-    rows = base.select("id", "response").mapInPandas(_forms, "id string, response string, form long, tails array<long>").drop("response")
-    rows = cut(rows)
-    forms = rows.groupBy("form").agg(F.count(F.lit(1)).alias("form_n")).filter("form_n > 1")
-    # the longest tail that occurs often enough decides
-    tails = rows.select("id", F.posexplode("tails").alias("place", "key")).join(endings, "key")
-    tails = tails.filter("ends + mids >= 3").groupBy("id").agg(F.min_by(F.struct("ends", "mids"), "place").alias("t"))
-    stats = rows.select("id", "form").join(forms, "form", "left").join(tails, "id", "left")
-    stats = stats.select("id", F.coalesce(F.col("form_n") / max(total, 1), F.lit(0.0)).alias("form_share"), F.col("t.ends").alias("ends"), F.col("t.mids").alias("mids"))
+    endings = rows.select(F.explode(F.arrays_zip("keys", "ends", "mids")).alias("c")).groupBy(F.col("c.keys").alias("key"))
+    endings = endings.agg(F.sum("c.ends").alias("ends"), F.sum("c.mids").alias("mids")).filter("ends + mids >= 3")
+    counts = rows.select(F.explode(F.arrays_zip("grams", "n_grams")).alias("c")).groupBy("c.grams").agg(F.sum("c.n_grams").alias("n")).collect()  # at most len(LANGS) * BUCKETS rows
+    seen = np.zeros((len(LANGS), BUCKETS))
+    for r in counts:
+        seen[r["grams"] // BUCKETS, r["grams"] % BUCKETS] = r["n"]
+    model = spark.sparkContext.broadcast(Trigrams({lang: c for lang, c in zip(LANGS, seen, strict=True) if c.any()}))
+
+    # a repeated pair vouches for nothing, so shapes are counted by distinct prompts
+    asked = rows.select("form", F.xxhash64("prompt").alias("p")).distinct()
+    total = max(rows.select(F.xxhash64("prompt")).distinct().count(), 1)
+    forms = small(asked.groupBy("form").agg((F.count(F.lit(1)) / total).alias("form_share")).filter(F.col("form_share") >= 0.002))  # at most 500
+    # the longest tail that occurs often enough decides; equal tails are looked up once
+    known = rows.select(F.col("tails").alias("at")).filter(F.size("at") > 0).distinct().select("at", F.posexplode("at").alias("place", "key"))
+    known = known.join(endings, "key").groupBy("at").agg(F.min_by(F.struct("ends", "mids"), "place").alias("t"))
+    stats = rows.select("id", "prompt", "response", "form", F.col("tails").alias("at")).join(forms, "form", "left").join(known, "at", "left")
+    stats = stats.select("id", "prompt", "response", F.coalesce("form_share", F.lit(0.0)).alias("form_share"), F.col("t.ends").alias("ends"), F.col("t.mids").alias("mids"))
 
     def cast_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -397,7 +364,7 @@ def label(pairs: DataFrame) -> DataFrame:
                 got.append(votes(prompt, response, ends / seen if seen else None, seen, share, model.value))
             yield pd.DataFrame({"id": b["id"], **{d: [v[d] for v in got] for d in DEFECTS}})
 
-    ballots = base.join(stats, "id").mapInPandas(cast_votes, "id string, " + ", ".join(f"{d} array<int>" for d in DEFECTS))
+    ballots = stats.mapInPandas(cast_votes, "id string, " + ", ".join(f"{d} array<int>" for d in DEFECTS))
     ballots = cut(ballots)
     flat = ballots.select("id", F.explode(F.create_map(*[x for d in DEFECTS for x in (F.lit(d), F.col(d))])).alias("defect", "votes"))
     patterns = flat.groupBy("defect", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 5 per defect

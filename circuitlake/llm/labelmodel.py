@@ -1,43 +1,41 @@
 """A label model: noisy labelling functions combined by expectation maximisation.
 
 Each labelling function votes +1, 0 (no opinion) or -1. Votes are taken as independent
-given the hidden label; their rates and the share of positives are estimated from the
-votes alone, around prior rates. Only the counts of distinct vote patterns are needed,
-at most 3 ** functions of them, so the fit does not depend on the number of rows.
+given the hidden label; how often a function that has an opinion votes +1 on either label,
+and the share of positives, are estimated from the votes alone. No opinion is no evidence.
+The prior rates count as `rows` rows, whatever the size of the table, so the data outweigh
+them as they grow. Only the counts of distinct vote patterns are needed, at most
+3 ** functions of them, so the fit does not depend on the number of rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Rows of data that the prior rates weigh as much as.
+PRIOR_ROWS = 200.0
 
-def fit(patterns: np.ndarray, counts: np.ndarray, prior: np.ndarray, share: float, weight: float = 2.0, steps: int = 100) -> np.ndarray:
+
+def fit(patterns: np.ndarray, counts: np.ndarray, prior: np.ndarray, share: float, rows: float = PRIOR_ROWS, steps: int = 300) -> np.ndarray:
     """Posterior of each pattern.
 
-    patterns: (rows, functions) of -1, 0, +1; prior: (functions, 2, 3) rates of the votes
-    -1, 0, +1 for hidden label 0 and 1; share: prior share of positives; weight: pseudo
-    rows of the prior per row of data and label.
+    patterns: (n, functions) of -1, 0, +1; prior: (functions, 2) chances of +1, given an
+    opinion, for hidden label 0 and 1; share: prior share of positives.
     """
-    votes = patterns.astype(int) + 1
-    total = counts.sum()
-    rates, pi = prior / prior.sum(2, keepdims=True), share
+    yes, no = patterns > 0, patterns < 0
+    rate, pi = prior.astype(float).copy(), share
     post = np.full(len(patterns), share)
     for _ in range(steps):
-        logs = np.log(rates)
-        l1 = np.log(pi) + sum(logs[f, 1, votes[:, f]] for f in range(votes.shape[1]))
-        l0 = np.log(1 - pi) + sum(logs[f, 0, votes[:, f]] for f in range(votes.shape[1]))
-        new = 1.0 / (1.0 + np.exp(np.clip(l0 - l1, -50, 50)))
+        up, down = np.log(rate), np.log1p(-rate)
+        logs = yes @ up + no @ down  # (n, label)
+        new = 1.0 / (1.0 + np.exp(np.clip(np.log1p(-pi) + logs[:, 0] - np.log(pi) - logs[:, 1], -50, 50)))
         done = np.abs(new - post).max(initial=0) < 1e-7
         post = new
         if done:
             break
         for label, p in ((1, post), (0, 1 - post)):
             mass = counts * p
-            pseudo = weight * max(mass.sum(), 1.0)
-            for f in range(votes.shape[1]):
-                seen = np.bincount(votes[:, f], weights=mass, minlength=3)
-                rates[f, label] = seen + pseudo * prior[f, label] / prior[f, label].sum() + 1e-3
-                rates[f, label] /= rates[f, label].sum()
-        pseudo = weight * total * 0.1 + 1.0
-        pi = float(np.clip((counts @ post + pseudo * share) / (total + pseudo), 1e-4, 0.999))
+            rate[:, label] = (mass @ yes + rows * prior[:, label]) / (mass @ (yes | no) + rows)
+        rate = np.clip(rate, 1e-5, 1 - 1e-5)
+        pi = float(np.clip((counts @ post + rows * share) / (counts.sum() + rows), 1e-5, 0.999))
     return post

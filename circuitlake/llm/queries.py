@@ -33,12 +33,14 @@ QUERIES: dict[str, Query] = {
     "p6_found": _over(neardup.found, "demo_output"),
     "p6_groups": _over(neardup.groups, "demo_output"),
     "p7_sequences": _over(packing.pack_documents, "documents"),
-    "p7_report": _over(lambda t: packing.report(packing.pack_documents(t)), "documents"),
+    "p7_report": _over(lambda t: packing.report(packing.packed_items(t)), "documents"),
+    "p7_whole": _over(lambda t: packing.whole(packing.pack_documents(t)), "documents"),
     "p8_found": _over(leaks.found, "documents", "eval_task"),
     "p8_report": _over(leaks.report, "documents", "eval_task"),
     "p8_sources": _over(leaks.sources, "documents", "eval_task"),
     "p9_found": _over(abuse.found, "documents", "labels"),
     "p9_scores": _over(abuse.scored, "documents", "labels"),
+    "p9_whole": _over(abuse.whole, "documents", "labels"),
     "p9_rates": _over(abuse.rates, "documents", "labels"),
 }
 
