@@ -349,7 +349,8 @@ def label(pairs: DataFrame) -> DataFrame:
     # a repeated pair vouches for nothing, so shapes are counted by distinct prompts
     asked = rows.select("form", F.xxhash64("prompt").alias("p")).distinct()
     total = max(rows.select(F.xxhash64("prompt")).distinct().count(), 1)
-    forms = small(asked.groupBy("form").agg((F.count(F.lit(1)) / total).alias("form_share")).filter(F.col("form_share") >= 0.002))  # at most 500
+    forms = asked.groupBy("form").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / total).alias("form_share"))
+    forms = small(forms.filter("n >= 3 and form_share >= 0.002").drop("n"))  # at most 500
     # the longest tail that occurs often enough decides; equal tails are looked up once
     known = rows.select(F.col("tails").alias("at")).filter(F.size("at") > 0).distinct().select("at", F.posexplode("at").alias("place", "key"))
     known = known.join(endings, "key").groupBy("at").agg(F.min_by(F.struct("ends", "mids"), "place").alias("t"))

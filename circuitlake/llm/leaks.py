@@ -2,12 +2,12 @@
 
 Rare n-gram seeds join documents to test items: every run of `RUN` words of a test text
 is covered by its rarest n-gram (by the number of documents that hold it), so a document
-that shares such a run is always a candidate. Every candidate is scored by Smith-Waterman
+that shares such a run is always a candidate; n-grams that only one item has are seeds as
+well. Every candidate is scored by Smith-Waterman
 alignment around all its seeds; it is a leak if the score reaches `SCORE`, which an unedited
 run of `RUN` words always does and edited or paraphrased copies do as well. The alignment
 also gives the longest common run of words; `found` keeps the leaks where it reaches `RUN`.
-An edited copy without any seed left (no six words in a row, or none of the rarest ones) is
-not seen; tests/llm measures that share against alignment of all pairs.
+An edited copy without any seed left (no six words in a row) is not seen; tests/llm measures that share against alignment of all pairs.
 
 Test items are handled in blocks of at most `BLOCK_WORDS` words, each block one pass over
 the corpus, so what is sent to the executors is bounded whatever the number of items.
@@ -19,6 +19,7 @@ leak by the run rule; rows with null doc_id or null id are left out.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,12 +85,21 @@ class Block:
         return at[ok], pos[ok]
 
     def seeds(self, holders: dict[int, int], run: int = RUN) -> list[tuple[int, int]]:
-        """(gram, task number): the rarest n-gram of every run of `run` words."""
+        """(gram, task number): the rarest n-gram of every run of `run` words among those some document
+        holds, and every n-gram that only one item has.
+
+        A document that holds a whole run holds all its n-grams, so it is never left out; the
+        others are for edited copies, of which few n-grams are left.
+        """
+        owners = Counter(int(g) for grams in self.of_task for g in np.unique(grams))
         out = set()
         per = run - self.n + 1
         for t, grams in enumerate(self.of_task):
             for i in range(len(grams) - per + 1):
-                out.add((int(min(grams[i : i + per], key=lambda g: (holders.get(int(g), 0), int(g)))), t))
+                held = [int(g) for g in grams[i : i + per] if int(g) in holders]
+                if held:
+                    out.add((min(held, key=lambda g: (holders[g], g)), t))
+                    out.update((g, t) for g in held if owners[g] == 1)
         return sorted(out)
 
 

@@ -74,6 +74,64 @@ def test_label_model_recovers_hidden_labels():
     y = rng.random(4000) < 0.1
     votes = np.stack([np.where(y, np.where(rng.random(4000) < a, 1, 0), np.where(rng.random(4000) < 0.97, -1, 1)) for a in (0.9, 0.7, 0.8)], 1)
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    prior = np.array([[(0.9, 0.05, 0.05), (0.1, 0.2, 0.7)]] * 3)
+    prior = np.array([(0.05, 0.7)] * 3)
     post = labelmodel.fit(patterns, counts.astype(float), prior, 0.1)
     assert ((post[inverse.ravel()] >= 0.5) == y).mean() > 0.985
+
+
+def test_label_model_learns_that_a_function_is_noise():
+    """The prior thinks alike of all functions; the data show that one votes at random."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = rng.random(20_000) < 0.2
+    good = [np.where(rng.random(len(y)) < np.where(y, 0.9, 0.05), 1, -1) for _ in range(3)]
+    votes = np.stack([*good, np.where(rng.random(len(y)) < 0.5, 1, -1)], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post = labelmodel.fit(patterns, counts.astype(float), np.array([(0.1, 0.8)] * 4), 0.1)
+    at = {tuple(p): q for p, q in zip(patterns.tolist(), post, strict=True)}
+    for v in ((1, 1, -1), (1, -1, -1), (1, 1, 1)):
+        truth = np.mean(y[(votes[:, :3] == v).all(1)])
+        assert abs(at[(*v, 1)] - truth) < 0.05 and abs(at[(*v, -1)] - truth) < 0.05
+
+
+def test_no_opinion_is_no_evidence():
+    import numpy as np
+
+    post = labelmodel.fit(np.array([[0, 0], [1, 1], [-1, -1]]), np.array([500.0, 100.0, 900.0]), np.array([(0.01, 0.9)] * 2), 0.1)
+    assert 0.05 < post[0] < 0.15 and post[1] > 0.99 and post[2] < 0.01
+
+
+@pytest.mark.parametrize("defect", bp.DEFECTS)
+def test_cutoffs_stand_clear(spark, defect):
+    """Held-out pairs with defects put in: no cutoff from 0.2 to 0.8 separates them better than the one in use."""
+    rows, truth = [], {}
+    for k in range(360):
+        n, i = NOUNS[k % 5], k % 41 + 1
+        prompt = PROMPT.format(n=n, i=i)
+        answer = " ".join(x.format(n=n, i=i) for x in EN[k % 3 :])
+        bad = k % 12 == 0
+        if bad:
+            answer = {
+                "empty": "", "truncated": answer[: len(answer) * 2 // 3].rsplit(" ", 1)[0].rstrip(".") + " and the",
+                "refusal": "I am sorry, but I cannot help with this request.", "copy": prompt + " " + prompt, "other_language": " ".join(x.format(i=i) for x in DE),
+            }[defect]
+        rows.append((f"e{k}", prompt, answer))
+        truth[f"e{k}"] = bad
+    got = bp.label(spark.createDataFrame(rows, "id string, prompt string, response string")).filter(f"defect = '{defect}'").collect()
+    right = {c: sum((r.posterior >= c) == truth[r.id] for r in got) for c in (0.2, bp.CUTOFFS[defect], 0.8)}
+    assert right[bp.CUTOFFS[defect]] == max(right.values()) and right[bp.CUTOFFS[defect]] >= 0.99 * len(rows)
+
+
+def test_copied_short_prompt():
+    model = bp.Trigrams({})
+    assert bp.without_prompt(["why", "why"], ["why"]) == ([], 2, 0)
+    assert bp.without_prompt(["why", "not"], ["why"]) == (["why", "not"], 0, 0)
+    assert bp.votes("Why not?", "Why not? Why not?", None, 0, 0.0, model)["copy"][0] == 1
+
+
+def test_a_repeated_cut_answer_does_not_vouch_for_itself(spark):
+    rows = [(f"e{k}", PROMPT.format(n=NOUNS[k % 5], i=k), EN[0].format(n=NOUNS[k % 5], i=k)) for k in range(200)]
+    rows += [(f"c{k}", "Explain the loop of the latch?", "The latch falls because the") for k in range(100)]
+    got = bp.label(spark.createDataFrame(rows, "id string, prompt string, response string")).filter("defect = 'truncated' and posterior >= 0.5").collect()
+    assert {r.id for r in got} == {f"c{k}" for k in range(100)}

@@ -49,8 +49,28 @@ def test_leaks_match_brute_force(spark, docs, block_words):
         rows.append((i, "  **".join(words).upper(), "s"))
     rows += [(900, None, "s"), (901, "", "s"), (None, tests[0][1], "s"), rows[1], (902, ("word " * 5000) + (tests[0][1] + " ") * 3, None)]
     got = leaks.leaks(docs(rows), spark.createDataFrame(tests, "id string, description string"), block_words=block_words).collect()
-    assert {(r.doc_id, r.task_id) for r in got} == brute_leaks(rows, tests, 12)
-    assert len(got) == len({(r.doc_id, r.task_id) for r in got}) and all(r.longest_run >= 12 and 0 < r.covered <= 1 for r in got)
+    assert {(r.doc_id, r.task_id) for r in got if r.longest_run >= 12} == brute_leaks(rows, tests, 12)
+    assert len(got) == len({(r.doc_id, r.task_id) for r in got}) and all(r.score >= leaks.SCORE and 0 < r.covered <= 1 for r in got)
+
+
+def test_edited_copies_are_found_by_alignment(spark, docs):
+    """Against alignment of all pairs: copies with a word changed in every eight or nine, so no run of twelve."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    tests = [(f"t{k}", " ".join(rng.choice(vocab) for _ in range(rng.randint(40, 90)))) for k in range(20)]
+    rows = []
+    for i in range(120):
+        words = leaks.words(tests[i % 20][1])
+        for at in range(rng.randrange(8), len(words), rng.choice((8, 9))):
+            words[at] = rng.choice(vocab)
+        noise = [rng.choice(vocab) for _ in range(60)]
+        rows.append((i, " ".join(noise[:30] + words + noise[30:]), "s"))
+    got = {(r.doc_id, r.task_id) for r in leaks.leaks(docs(rows), spark.createDataFrame(tests, "id string, description string")).collect()}
+    block = leaks.Block([(t, leaks.words(d)) for t, d in tests])
+    every = [(i, t, block.encode(text), block.ids[k]) for i, text, _ in rows for k, (t, _) in enumerate(tests)]
+    _, score = leaks.align([e[2] for e in every], [e[3] for e in every])
+    want = {(i, t) for (i, t, _, _), s in zip(every, score, strict=True) if s >= leaks.SCORE}
+    assert got <= want and len(want) >= 120 and len(got) >= 0.9 * len(want)
 
 
 def test_no_items_or_documents(spark, docs):
@@ -61,8 +81,10 @@ def test_no_items_or_documents(spark, docs):
 
 def test_alignment():
     a = np.array([1, 2, 3, 9, 4, 5, 6])
-    assert leaks.longest_run_and_score(a, np.array([1, 2, 3, 4, 5, 6])) == (3, 11)
-    assert leaks.longest_run_and_score(np.array([-1, -1]), np.array([0, 1])) == (0, 0)
+    items = [np.array([1, 2, 3, 4, 5, 6]), np.array([0, 1])]
+    for cells in (1, 1 << 16):
+        longest, score = leaks.align([a, np.array([-1, -1])], items, cells)
+        assert longest.tolist() == [3, 0] and score.tolist() == [11, 0]
 
 
 # --- packing
@@ -92,7 +114,8 @@ def test_packing_is_complete_and_tight(docs, shard_tokens):
     assert max(fill.values()) <= 256
     best = -(-sum(want.values()) // 256)
     assert len(fill) <= best * 1.05 + 2
-    assert packing.report(packing.pack_documents(docs(rows), capacity=256), 256).collect()[0].tokens == sum(want.values())
+    assert packing.report(packing.packed_items(docs(rows), capacity=256), 256).collect()[0].tokens == sum(want.values())
+    assert packing.whole(packing.pack_documents(docs(rows), capacity=256, shard_items=50), 256).collect()[0].asDict() == {"documents": len(want), "late": 0, "gap": 0, "split": 0, "overfull": 0}
 
 
 @pytest.mark.skipif(not HAVE, reason="no vocabulary")
@@ -107,7 +130,7 @@ def test_neighbours_are_alike():
     topics = [np.arange(0, 40), np.arange(40, 80)]
     tokens = [np.sort(rng.choice(topics[i % 2], 12, replace=False)) for i in range(40)]
     lengths = np.full(40, 10)
-    got = packing.pack(tokens, [np.ones(12, int)] * 40, lengths, np.ones(80, np.float32), 10.0, 40)
+    got, _ = packing.pack(tokens, [np.ones(12, int)] * 40, lengths, np.ones(80, np.float32), 10.0, 40)
     assert sum(len(s) for s in got) == 40
     alike = [s[0] % 2 == s[1] % 2 for s in got if len(s) > 1]
     assert np.mean(alike) > 0.9
@@ -149,18 +172,23 @@ def test_held_out_accuracy_and_flat_cutoff(spark, docs):
     assert got[9001].score == got[9002].score == 0.0
     held = [i for i in range(450, 900)]
     for cutoff in (0.07, 0.1, 0.3):
-        assert np.mean([(got[i].worst >= cutoff) == truth[i] for i in held]) > 0.98, cutoff
+        assert np.mean([(got[i].score >= cutoff) == truth[i] for i in held]) > 0.98, cutoff
     located = [got[i].worst_sentence for i in held if truth[i] and got[i].worst_sentence]
     assert all("sweeping" in s or "draw" in s or "poison" in s for s in located)
     found = {r.doc_id for r in abuse.found(table, labels).collect()}
-    assert found == {i for i, r in got.items() if r.worst >= abuse.CUTOFF}
+    assert found == {i for i, r in got.items() if r.score >= abuse.CUTOFF}
     rates = {r.source: r for r in abuse.rates(table, labels).collect()}
-    assert sum(r.bad for r in rates.values()) >= len(found)
+    assert sum(r.bad for r in rates.values()) == len(found) and sum(r.documents for r in rates.values()) == 902  # repeated rows count once
+    assert {r.odd for r in abuse.whole(table, labels).collect()} == {0}
+    # harmless sentences add up to nothing, however many
+    long = [(7000 + i, " ".join(t for k, t, _ in rows if not truth[k]), "s0") for i in range(3)]
+    assert abuse.found(docs(rows + long), labels).filter("doc_id >= 7000").count() == 0
 
 
 def test_without_ratings_the_prior_decides(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int, rater string")
-    rows = [(1, "You fucking moron.", "s"), (2, "The gain falls.", "s"), (3, "x" * 300_000, "s")]
+    rows = [(4, "You are an idiot.", "s"), (1, "You fucking moron.", "s"), (2, "The gain falls.", "s"), (3, "x" * 300_000, "s")]
     got = {r.doc_id: r.worst for r in abuse.scored(docs(rows), labels).collect()}
     assert got[1] > got[2] and got[1] > got[3]
+    assert {r.doc_id for r in abuse.found(docs(rows), labels).collect()} == {1, 4}
     assert abuse.found(docs([]), labels).count() == 0

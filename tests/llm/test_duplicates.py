@@ -53,7 +53,7 @@ def test_cross_split_pairs(chats, corpus):
     assert sum(r.pairs for r in report) == len(want)
 
 
-@pytest.mark.parametrize("all_pairs", [32, 2])
+@pytest.mark.parametrize("all_pairs", [256, 2])
 def test_groups(chats, corpus, all_pairs):
     parent = {}
 
@@ -117,8 +117,8 @@ def test_banded_alignment_matches_full_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert rec.banded_common(a, b, 64) == table[-1][-1]
-        assert rec.banded_common(a, b, 2) <= table[-1][-1]
+        assert neardup.banded_common(a, b, 64) == table[-1][-1]
+        assert neardup.banded_common(a, b, 2) <= table[-1][-1]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -185,3 +185,65 @@ def test_links_of_a_hot_group_are_all_counted(chats, monkeypatch):
             want[x] += 1
     got = {r.id: r.n_links for r in neardup.groups(chats(rows), 2).collect()}
     assert got == {x: n for x, n in want.items() if n} and len(set(got.values())) > 2
+
+
+def test_alignment_decides_edits_and_bags_reordered_text():
+    words = [f"w{i}" for i in range(100)]
+    edited = words[:30] + ["new", "words"] + words[33:]
+    assert neardup.decide(words, edited, True) is True
+    assert neardup.decide(words, words[60:] + words[:60], True) is False  # the alignment falls short, the bags are equal
+    assert neardup.decide(words, edited, False) is False
+    assert neardup.decide(words, words[:70] + [f"x{i}" for i in range(30)], True) is None
+
+
+def test_sketches_name_words_and_order():
+    words = [f"w{i}" for i in range(200)]
+    a, b = (rec.sketches(rec.word_hashes(w)) for w in (words, words[10:] + words[:10]))
+    assert ((a >> 8) == (b >> 8)).all() and 0 < (a == b).sum() < len(a)
+
+
+@pytest.mark.parametrize("edit", ["insert", "reorder", "replace", "delete"])
+def test_meeting_rate_of_edits(edit):
+    """Pairs of overlap 0.8 and more share three sketches, whatever the edit."""
+    rng = random.Random(edit)
+    seen = met = 0
+    for _ in range(150):
+        words = [rng.choice(VOCAB) for _ in range(rng.randint(20, 250))]
+        if edit == "insert":
+            other = [x for w in words for x in ([w] if rng.random() > 0.15 else [w, rng.choice(VOCAB)])]
+        elif edit == "reorder":
+            other = list(words)
+            rng.shuffle(other)
+        elif edit == "replace":
+            other = [w if rng.random() > 0.07 else rng.choice(VOCAB) for w in words]
+        else:
+            other = [w for w in words if rng.random() > 0.12]
+        if rec.overlap(words, other) >= rec.OVERLAP:
+            a, b = (rec.sketches(rec.word_hashes(w)) for w in (words, other))
+            seen += 1
+            met += ((a >> 8) == (b >> 8)).sum() >= rec.MEETINGS
+    assert seen > 100 and met == seen
+
+
+def test_chunk_shares_never_exceed_the_overlap_and_fractions_cover(chats):
+    rng = random.Random(6)
+    base = [rng.choice(VOCAB) for _ in range(300)]
+    rows = [{"id": "t", "text": " ".join(base)}, {"id": "e", "text": " ".join(base[:150] + ["x"] * 150), "split": "val"}, {"id": "f", "text": " ".join(base), "split": "test"}]
+    rows.append({"id": "g", "text": "nothing in common at all", "split": "test"})
+    got = {r.id: r.covered for r in crosssplit.fractions(chats(rows)).collect()}
+    assert got["f"] == 1.0 and got["g"] == 0.0 and 0.4 < got["e"] < 0.55
+    for r in crosssplit.overlaps(chats(rows)).collect():
+        assert r.share <= 1.0 and {r.id_train, r.id_eval} == {"t", "f"}
+
+
+def test_skewed_joins_and_components(spark, monkeypatch):
+    """Hot keys are joined without a shuffle, with the same rows."""
+    from circuitlake import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "k long, x long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n")
+    assert runtime.join_skewed(left, right, "k", "n", 300, how_many=30).count() == 300
+    edges = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(300, 301), (301, 302)], "a long, b long")
+    roots = {r.node: r.root for r in connected_components(edges).collect()}
+    assert set(roots.values()) == {0, 300} and roots[302] == 300

@@ -44,6 +44,25 @@ def test_coarse_bundles_lose_nothing(chats, tables):
     assert got.groupBy("component").agg(F.countDistinct("split").alias("k")).filter("k > 1").count() == 0
 
 
+def test_merged_bundles_keep_labels_and_quotas(chats, tables):
+    """Sizes and label shares all differ: merged bundles still meet quotas and share out successes."""
+    rows, k = [], 0
+    for t in range(60):
+        for i in range(3 + t % 29):
+            rows.append({"id": f"t{k}", "task_id": f"task_{t}", "success": i * 60 < t * 3})
+            k += 1
+    got = splits.assign(chats(rows), *tables, max_bundles=8)
+    n = {r.split: r.records for r in splits.report(got).collect()}
+    assert sum(n.values()) == k and abs(n["val"] - k / 10) < 40 and abs(n["test"] - k / 10) < 40
+    assert splits.whole(got).collect()[0].torn == 0
+
+
+def test_long_chain_of_renames(spark, chats, tables):
+    links = spark.createDataFrame([(f"c{i}x", f"c{i + 1}x") for i in range(150)] + [("c150x", "tia_025"), ("la", "lb"), ("lb", "la"), ("lc", "la")], "old_id string, new_id string")
+    rows = [{"id": "a", "task_id": "c0x"}, {"id": "b", "task_id": "c149x"}, {"id": "c", "task_id": "la"}, {"id": "d", "task_id": "lc"}]
+    assert {(r.id, r.task_id) for r in splits.found(chats(rows), tables[0], links).collect()} == {("a", "tia_025"), ("b", "tia_025")}
+
+
 def test_hot_task_beyond_a_quota_goes_to_train(chats, tables):
     rows = [{"id": f"h{i}", "task_id": "tia_025"} for i in range(90)] + [{"id": f"n{i}"} for i in range(10)]
     got = {r.component: r.split for r in splits.assign(chats(rows), *tables).select("component", "split").distinct().collect()}
