@@ -143,7 +143,7 @@ def _factor(text: str, at: int):
 def readings(unit: str) -> tuple[Reading, ...]:
     """Every segmentation of the whole string with a known dimension, best first."""
     text = clean(unit)
-    if not text or len(text) > 64:
+    if not text:
         return ()
     best: list[dict] = [{} for _ in range(len(text) + 1)]
     best[0][(1, ())] = (0.0, 0.0)

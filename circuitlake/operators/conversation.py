@@ -6,6 +6,8 @@ inside generated code; no Python workers.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,21 @@ ROLES = ("system", "user", "assistant", "tool")
 
 # The tools an agent may call, with the arguments each requires.
 CONTRACT = (
-    ("meas.eval", ["node"]),
-    ("netlist.lint", ["netlist"]),
-    ("netlist.patch", ["netlist"]),
-    ("pdk.device_query", ["query"]),
-    ("sim.ac", ["netlist"]),
     ("sim.dc", ["netlist"]),
+    ("sim.ac", ["netlist"]),
     ("sim.tran", ["netlist"]),
-    ("spec.check", ["query"]),
+    ("sim.noise", ["netlist", "output_node", "input_source"]),
+    ("sim.stb", ["netlist", "probe_node"]),
+    ("sim.corners", ["netlist", "corners"]),
+    ("sim.mc", ["netlist", "num_runs"]),
+    ("meas.eval", ["signal", "expression"]),
+    ("spec.check", ["results", "specs"]),
+    ("pdk.device_query", ["model", "W", "L", "VGS", "VDS"]),
+    ("pdk.list_devices", []),
+    ("pdk.get_corners", []),
+    ("netlist.patch", ["operations"]),
+    ("lint.check", ["netlist"]),
+    ("opt.suggest", ["netlist", "variables", "objectives"]),
 )
 SYSTEM_PROMPT = "You are a circuit design assistant. Use the tools you are given and never invent results."
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
@@ -32,6 +41,42 @@ def contract(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(n, a) for n, a in CONTRACT], "name string, required array<string>"))
 
 
+def system_message(prompt: str = SYSTEM_PROMPT, tools: tuple = CONTRACT) -> str:
+    """The one system message of training and serving: the prompt and a section per tool with its required arguments."""
+    parts = [prompt, "# Tools"]
+    for name, required in tools:
+        parts.append("\n".join([f"## {name}", *(f"- {a} (required)" for a in required)]))
+    return "\n\n".join(parts)
+
+
+def tool_names(tools: tuple = CONTRACT) -> list[str]:
+    return sorted(name for name, _ in tools)
+
+
+def call_grammar(names: list[str]) -> str:
+    """Grammar of replies that may only call the named tools: prose with tagged JSON calls.
+
+    No names would forbid every call and are refused.
+    """
+    if not names:
+        raise ValueError("a grammar without tools forbids every call")
+    quoted = " | ".join('"' + json.dumps(n).replace('"', '\\"') + '"' for n in names)
+    rules = {
+        "root": "text (call text)*",
+        "text": "[^<]*",
+        "call": '"<tool_call>" ws "{" ws "\\"name\\"" ws ":" ws tool ws "," ws "\\"arguments\\"" ws ":" ws object ws "}" ws "</tool_call>"',
+        "tool": quoted,
+        "object": '"{" ws (pair (ws "," ws pair)*)? ws "}"',
+        "pair": "string ws \":\" ws value",
+        "array": '"[" ws (value (ws "," ws value)*)? ws "]"',
+        "value": 'string | number | object | array | "true" | "false" | "null"',
+        "string": '"\\"" ([^"\\\\] | "\\\\" .)* "\\""',
+        "number": '"-"? [0-9]+ ("." [0-9]+)? ([eE] [-+]? [0-9]+)?',
+        "ws": "[ \\t\\n\\r]*",
+    }
+    return "\n".join(f"{name} ::= {rule}" for name, rule in rules.items())
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -44,10 +44,10 @@ def license_messages(sources: DataFrame) -> DataFrame:
 
 def source_summary(sources: DataFrame) -> DataFrame:
     """Tokens by category, sources by license and the grand total, as grouping sets."""
-    sources.createOrReplaceTempView("_corpus_sources")
     return sources.sparkSession.sql(
         """SELECT category, license, sum(coalesce(token_count, 0)) AS tokens, count(*) AS sources
-           FROM _corpus_sources GROUP BY GROUPING SETS ((category), (license), ())"""
+           FROM {rows} GROUP BY GROUPING SETS ((category), (license), ())""",
+        rows=sources,
     )
 
 
@@ -110,7 +110,12 @@ def curriculum(rows: DataFrame, keys: tuple[str, ...] = ("source", "id")) -> Dat
 def mix(corpus: DataFrame, filler: DataFrame, ratio: float, key: str) -> DataFrame:
     """Corpus plus int(n * r / (1 - r)) filler rows, those of smallest key hash."""
     n = int(corpus.count() * ratio / (1 - ratio))
-    picked = filler.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+    rows = filler.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 4,096 rows at most
+    counts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_b").orderBy("_h", key)
+    rows = rows.join(F.broadcast(counts.filter(F.col("_before") < n)), "_b").withColumn("_r", F.col("_before") + F.row_number().over(inside))
+    picked = rows.filter(F.col("_r") <= n).select(*filler.columns)
     return corpus.withColumn("origin", F.lit("corpus")).unionByName(picked.withColumn("origin", F.lit("filler")), allowMissingColumns=True)
 
 

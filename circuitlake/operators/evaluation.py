@@ -39,11 +39,11 @@ def metrics(results: DataFrame, by: str) -> DataFrame:
 
 def grouped_rates(results: DataFrame) -> DataFrame:
     """Pass rate and mean score overall, per category and per difficulty, as grouping sets."""
-    results.createOrReplaceTempView("_eval_results")
     return results.sparkSession.sql(
         """SELECT category, difficulty, grouping_id(category, difficulty) AS level, count(*) AS n,
                   avg(CAST(coalesce(passed, false) AS DOUBLE)) AS pass_rate, avg(score) AS mean_score
-           FROM _eval_results GROUP BY GROUPING SETS ((), (category), (difficulty))"""
+           FROM {rows} GROUP BY GROUPING SETS ((), (category), (difficulty))""",
+        rows=results,
     )
 
 

@@ -80,9 +80,11 @@ QUERIES = {
     "conv_to_chat": to_chat,
     "conv_statistics": lambda spark, d: conv.trajectory_statistics(_steps(spark, d)),
     "conv_task_prompts": prompts,
+    "conv_tool_names": lambda spark, d: spark.range(1).select(F.lit(",".join(conv.tool_names())).alias("names"), F.lit(len(conv.CONTRACT)).cast("long").alias("n")),
+    "conv_system_message": lambda spark, d: spark.range(1).select(F.md5(F.lit(conv.system_message())).alias("digest")),
 }
 
-_PROMPT = conv.SYSTEM_PROMPT
+_PROMPT = "You are a circuit design assistant. Use the tools you are given and never invent results."
 _TEXTS = """t AS (SELECT id, pos, m.role AS role, m.content AS content FROM (
     SELECT id, unnest(range(len(messages))) AS pos, unnest(messages) AS m FROM (SELECT DISTINCT id, messages, source, success, score FROM demo_output)))"""
 _STEPS = "s AS (SELECT * FROM rl_ngspice_demo QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY received_at) = 1)"
@@ -97,7 +99,10 @@ _CALLS = rf"""{_TEXTS},
           CASE WHEN js IS NULL THEN 'not_json' WHEN NOT starts_with(js, '{{') THEN 'not_object' WHEN coalesce(json_extract_string(js, '$.name'), '') = '' THEN 'no_name'
                WHEN json_extract(js, '$.arguments') IS NOT NULL AND json_type(js, '$.arguments') <> 'OBJECT' THEN 'bad_arguments' END AS error FROM j),
   k AS (SELECT *, CASE WHEN error IS NULL THEN json_extract_string(js, '$.name') END AS name FROM c)"""
-_CONTRACT = "contract(name, required) AS (VALUES " + ", ".join(f"('{n}', {a})" for n, a in conv.CONTRACT) + ")"
+_CONTRACT = """contract(pos, name, required) AS (VALUES (1, 'sim.dc', ['netlist']), (2, 'sim.ac', ['netlist']), (3, 'sim.tran', ['netlist']),
+  (4, 'sim.noise', ['netlist', 'output_node', 'input_source']), (5, 'sim.stb', ['netlist', 'probe_node']), (6, 'sim.corners', ['netlist', 'corners']), (7, 'sim.mc', ['netlist', 'num_runs']),
+  (8, 'meas.eval', ['signal', 'expression']), (9, 'spec.check', ['results', 'specs']), (10, 'pdk.device_query', ['model', 'W', 'L', 'VGS', 'VDS']), (11, 'pdk.list_devices', []::VARCHAR[]),
+  (12, 'pdk.get_corners', []::VARCHAR[]), (13, 'netlist.patch', ['operations']), (14, 'lint.check', ['netlist']), (15, 'opt.suggest', ['netlist', 'variables', 'objectives']))"""
 _NORM = f"""CASE WHEN messages IS NULL OR len(messages) = 0 THEN 'no_messages' WHEN coalesce(messages[1].role, '') <> 'system' THEN 'inserted'
       WHEN messages[1].content = '{_PROMPT}' THEN 'already_canonical' ELSE 'rewritten' END"""
 _CHAT = "list_aggregate(list_transform({l}, lambda m: '<|im_start|>' || coalesce(m.role, '') || chr(10) || coalesce(m.content, '') || '<|im_end|>' || chr(10)), 'string_agg', '')"
@@ -130,13 +135,13 @@ SELECT id, md5({_CHAT.format(l="l")}) AS digest, length(CASE WHEN len(raw) = 0 T
     "conv_signatures": rf"""WITH {_TEXTS} SELECT md5(substr(regexp_replace(regexp_replace(regexp_replace(content, '"[^"]*":\s*"[^"]*"', '"K": "V"', 'g'), '"[^"]*":\s*[\d.]+', '"K": 0', 'g'), '\s+', ' ', 'g'), 1, 200)) AS signature, count(*) AS n
 FROM t WHERE role = 'assistant' AND contains(content, '<tool_call>') GROUP BY 1""",
     "conv_tool_calls": f"WITH {_CALLS} SELECT id, pos, call, method, name, error, thinking_chars FROM k",
-    "conv_first_call": rf"""WITH {_TEXTS}, r AS (SELECT id, pos, content, regexp_extract(content, '(?s)<tool_call>\s*(\{{.*?\}})\s*</tool_call>', 1) AS body,
+    "conv_first_call": rf"""WITH {_TEXTS}, {_CONTRACT}, r AS (SELECT id, pos, content, regexp_extract(content, '(?s)<tool_call>\s*(\{{.*?\}})\s*</tool_call>', 1) AS body,
     nullif(regexp_extract(content, '(?s)\{{[^{{}}]*"name"\s*:\s*"([\w.]+)"[^{{}}]*"arguments"\s*:\s*\{{[^{{}}]*\}}', 1), '') AS loose FROM t WHERE role = 'assistant' AND content IS NOT NULL),
   x AS (SELECT id, pos, CASE WHEN body <> '' AND json_valid(body) THEN json_extract_string(body, '$.name') END AS canonical, loose,
-    CASE {" ".join(f"WHEN contains(content, '{n}') THEN '{n}'" for n, _ in conv.CONTRACT)} END AS mention FROM r)
+    (SELECT arg_min(name, contract.pos) FROM contract WHERE contains(r.content, name)) AS mention FROM r)
 SELECT id, pos, coalesce(canonical, loose, mention) AS name, CASE WHEN canonical IS NOT NULL THEN 'canonical' WHEN loose IS NOT NULL THEN 'loose' WHEN mention IS NOT NULL THEN 'mention' END AS source FROM x""",
     "conv_call_checks": f"""WITH {_CALLS}, {_CONTRACT}
-SELECT id, pos, call, k.name, CASE WHEN required IS NULL THEN 'unknown_tool' ELSE 'missing_argument' END AS reason
+SELECT id, k.pos, call, k.name, CASE WHEN required IS NULL THEN 'unknown_tool' ELSE 'missing_argument' END AS reason
 FROM k LEFT JOIN contract USING (name) WHERE error IS NULL AND (required IS NULL OR NOT list_has_all(coalesce(json_keys(js, '$.arguments'), []), required))""",
     "conv_hallucinated": f"WITH {_CALLS}, {_CONTRACT} SELECT name, count(*) AS calls FROM k WHERE error IS NULL AND name NOT IN (SELECT name FROM contract) GROUP BY name",
     "conv_analyze": """WITH f AS (SELECT source, coalesce(success, false) AS ok, coalesce(score, 0) AS score, coalesce(len(messages), 0) AS n,
@@ -155,6 +160,9 @@ UNION ALL SELECT run_id, step, 'early_tool' FROM w WHERE role = 'tool' AND NOT s
 SELECT count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(n), 6) AS mean_steps, round(avg(total), 6) AS mean_reward FROM p""",
     "conv_task_prompts": """SELECT id, concat_ws(chr(10), 'Task category: ' || category, description, CASE WHEN NOT isnan(supply) THEN 'Supply: ' || printf('%.2f', supply) END, 'Load: ' || load) AS prompt FROM eval_task""",
 }
+SQL["conv_tool_names"] = f"WITH {_CONTRACT} SELECT string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM contract"
+SQL["conv_system_message"] = f"""WITH {_CONTRACT} SELECT md5('{_PROMPT}' || chr(10) || chr(10) || '# Tools' || string_agg(chr(10) || chr(10) || '## ' || name ||
+  coalesce(list_aggregate(list_transform(required, lambda a: chr(10) || '- ' || a || ' (required)'), 'string_agg', ''), ''), '' ORDER BY pos)) AS digest FROM contract"""
 _se = SQL["conv_step_errors"]
 SQL["conv_dataset_report"] = f"""WITH e AS ({_se}), b AS (SELECT run_id, count(*) AS n FROM e GROUP BY 1), r AS (SELECT DISTINCT run_id FROM rl_ngspice_demo)
 SELECT count(*) AS runs, count(n) AS invalid, coalesce(sum(n), 0)::BIGINT AS errors FROM r LEFT JOIN b USING (run_id)"""

@@ -23,8 +23,23 @@ def extract(spark, d):
 
 QUERIES = {"extract_specs": extract}
 
-_ALIAS = "al(alias, metric, dimension) AS (VALUES " + ", ".join(f"('{a}', '{m}', '{extraction.DIMENSIONS[m]}')" for a, m in extraction.ALIASES.items()) + ")"
-_SCALE = "sc(family, u, scale) AS (VALUES " + ", ".join(f"('{f}', '{u}', {s!r}::DOUBLE)" for f, u, s in extraction.unit_scales()) + ")"
+# Written out here, so that the check does not read the tables it checks.
+_ALIAS = """al(alias, metric, dimension) AS (VALUES ('gain', 'passband_gain_db', 'gain'), ('dc_gain', 'dc_gain_db', 'gain'), ('gain_db', 'passband_gain_db', 'gain'), ('conversion_gain', 'passband_gain_db', 'gain'), ('gain_max', 'passband_gain_db', 'gain'), ('gain_min', 'passband_gain_db', 'gain'),
+  ('linearity', 'passband_gain_db', 'gain'), ('ugb', 'ugb', 'frequency'), ('gbw', 'ugb', 'frequency'), ('bw', 'bandwidth_3db', 'frequency'), ('bandwidth', 'bandwidth_3db', 'frequency'), ('cutoff_freq', 'bandwidth_3db', 'frequency'),
+  ('pm', 'phase_margin', 'angle'), ('phase_margin', 'phase_margin', 'angle'), ('gain_margin', 'gain_margin', 'gain_db_only'), ('idd', 'idd', 'current'), ('iq', 'idd', 'current'), ('idd_quiescent', 'idd', 'current'),
+  ('idd_1ghz', 'idd', 'current'), ('i_supply', 'idd', 'current'), ('vout', 'vout', 'voltage'), ('v_out', 'vout', 'voltage'), ('vref', 'vout', 'voltage'), ('output_swing', 'output_swing', 'voltage'),
+  ('vout_swing', 'output_swing', 'voltage'), ('swing', 'output_swing', 'voltage'), ('max_gain', 'dc_max_slope', 'gain_vv'), ('dc_slope', 'dc_max_slope', 'gain_vv'), ('vtc_gain', 'dc_max_slope', 'gain_vv'), ('iout_max', 'iout_max', 'current'),
+  ('iout_swing', 'iout_swing', 'current'), ('output_tc', 'output_tc', 'tc_voltage'), ('vout_final', 'vout_final', 'voltage'), ('final_value', 'vout_final', 'voltage'), ('osc_freq', 'osc_freq', 'frequency'), ('oscillation_frequency', 'osc_freq', 'frequency'),
+  ('fosc', 'osc_freq', 'frequency'), ('slew_rate', 'slew_rate', 'slew'), ('settling_time', 'settling_time', 'time'), ('settling', 'settling_time', 'time'), ('delay', 'prop_delay', 'time'), ('rise_time', 'rise_time', 'time'),
+  ('fall_time', 'fall_time', 'time'), ('overshoot', 'overshoot_pct', 'percent'), ('noise', 'input_noise_density', 'noise_density'), ('input_noise', 'input_noise_density', 'noise_density'), ('output_noise', 'output_noise_density', 'noise_density'), ('noise_rms', 'input_noise_rms', 'noise_rms'))"""
+_SCALE = """sc(family, u, scale) AS (VALUES ('frequency', 'hz', 1.0::DOUBLE), ('frequency', 'khz', 1000.0::DOUBLE), ('frequency', 'mhz', 1000000.0::DOUBLE), ('frequency', 'ghz', 1000000000.0::DOUBLE), ('frequency', 'thz', 1000000000000.0::DOUBLE), ('frequency', 'sa/s', 1.0::DOUBLE),
+  ('current', 'a', 1.0::DOUBLE), ('current', 'ma', 0.001::DOUBLE), ('current', 'ua', 1e-06::DOUBLE), ('current', 'na', 1e-09::DOUBLE), ('current', 'pa', 1e-12::DOUBLE), ('voltage', 'v', 1.0::DOUBLE),
+  ('voltage', 'mv', 0.001::DOUBLE), ('voltage', 'uv', 1e-06::DOUBLE), ('voltage', 'nv', 1e-09::DOUBLE), ('time', 's', 1.0::DOUBLE), ('time', 'ms', 0.001::DOUBLE), ('time', 'us', 1e-06::DOUBLE),
+  ('time', 'ns', 1e-09::DOUBLE), ('time', 'ps', 1e-12::DOUBLE), ('time', 'fs', 1e-15::DOUBLE), ('tc_voltage', 'v/c', 1.0::DOUBLE), ('tc_voltage', 'mv/c', 0.001::DOUBLE), ('tc_voltage', 'uv/c', 1e-06::DOUBLE),
+  ('noise_density_v', 'v/sqrt(hz)', 1.0::DOUBLE), ('noise_density_v', 'uv/sqrt(hz)', 1e-06::DOUBLE), ('noise_density_v', 'nv/sqrt(hz)', 1e-09::DOUBLE), ('noise_density_i', 'a/sqrt(hz)', 1.0::DOUBLE), ('noise_density_i', 'na/sqrt(hz)', 1e-09::DOUBLE), ('noise_density_i', 'pa/sqrt(hz)', 1e-12::DOUBLE),
+  ('noise_density_i', 'fa/sqrt(hz)', 1e-15::DOUBLE), ('slew', 'v/s', 1.0::DOUBLE), ('slew', 'v/ms', 1000.0::DOUBLE), ('slew', 'v/us', 1000000.0::DOUBLE), ('slew', 'v/ns', 1000000000.0::DOUBLE), ('angle', 'deg', 1.0::DOUBLE),
+  ('angle', 'degrees', 1.0::DOUBLE), ('angle', 'degree', 1.0::DOUBLE), ('angle', '', 1.0::DOUBLE), ('percent', '%', 1.0::DOUBLE), ('percent', 'percent', 1.0::DOUBLE), ('percent', '', 1.0::DOUBLE),
+  ('gain_db_only', 'db', 1.0::DOUBLE), ('gain_db_only', '', 1.0::DOUBLE), ('gain_vv', 'v/v', 1.0::DOUBLE), ('gain_vv', '', 1.0::DOUBLE))"""
 SQL = {
     "extract_specs": f"""WITH {_ALIAS}, {_SCALE},
   s AS (SELECT t.id AS task_id, t.category, e.key AS spec, lower(trim(coalesce(e.value.unit, ''))) AS u FROM (SELECT *, unnest(map_entries(specs)) AS e FROM eval_task) t),

@@ -35,7 +35,7 @@ def patched(spark, d):
 
 
 def supplies(spark, d):
-    return _decks(spark, d).select("deck_id", F.md5(net.set_supply(F.col("text"), 1.5)).alias("digest"))
+    return _decks(spark, d).select("deck_id", F.md5(net.set_supply(F.col("text"), 1.5)["text"]).alias("digest"), net.set_supply(F.col("text"), 1.5)["changed"].alias("changed"))
 
 
 def parameters(spark, d):
@@ -108,9 +108,12 @@ SELECT deck_id, line, name, printf('%.6e', coalesce(nullif(n, '')::DOUBLE * {_SX
 SELECT deck_id, line, name FROM n QUALIFY row_number() OVER (PARTITION BY deck_id, name ORDER BY line) > 1""",
     "netlist_patched": f"""WITH {_L}, a AS (SELECT deck_id, line, raw FROM l WHERE NOT starts_with(trim(raw), 'C1') UNION ALL SELECT deck_id, 1000000, 'R99 out 0 1k' FROM k)
 SELECT deck_id, md5({_JOIN.format(x="CASE WHEN starts_with(trim(raw), 'M1') THEN raw || ' AD=1p' ELSE raw END")}) AS digest FROM a GROUP BY 1""",
-    "netlist_set_supply": f"""WITH {_L} SELECT deck_id, md5({_JOIN.format(x="regexp_replace(raw, '^(\\s*v\\S*\\s+(?:vdd|vcc|vpos|avdd|dvdd)\\s+(?:0|gnd|vss)\\s+)(?:dc\\s*=?\\s*)?[-+0-9.]\\S*(.*)$', '\\1DC 1.5\\2', 'i')")}) AS digest FROM l GROUP BY 1""",
-    "netlist_set_parameter": f"""WITH {_L} SELECT deck_id, line, CASE WHEN contains(raw, 'W=') OR contains(raw, ' W =') THEN regexp_replace(raw, '\\bW\\s*=\\s*\\S+', 'W=9u', 'g') ELSE raw || ' W=9u' END AS w,
-  CASE WHEN contains(raw, 'NF=') OR contains(raw, ' NF =') THEN regexp_replace(raw, '\\bNF\\s*=\\s*\\S+', 'NF=2', 'g') ELSE raw || ' NF=2' END AS nf FROM l WHERE NOT starts_with(trim(raw), '*') AND regexp_matches(raw, '^[Mm]\\d')""",
+    "netlist_set_supply": f"""WITH {_L}, h AS (SELECT *, '^(\\s*v\\S*\\s+(?:vdd|vcc|vdda|vddd|avdd|dvdd|vpwr|vsup)\\s+(?:0|gnd|gnd!|vss|vgnd)\\s+)' AS h FROM l),
+  r AS (SELECT deck_id, line, raw, regexp_replace(raw, h || '(?:dc\\s*=?\\s*)?[-+0-9.]\\S*(.*)$', '\\1DC 1.5\\2', 'i') AS a, regexp_replace(raw, h || '((?:ac|pulse|sin|pwl|exp)\\b.*)$', '\\1DC 1.5 \\2', 'i') AS b,
+    regexp_matches(raw, h || '(?:dc\\s*=?\\s*)?[-+0-9.]\\S*(.*)$', 'i') AS p, regexp_matches(raw, h || '((?:ac|pulse|sin|pwl|exp)\\b.*)$', 'i') AS w FROM h)
+SELECT deck_id, md5({_JOIN.format(x="CASE WHEN p THEN a WHEN w THEN b ELSE raw END")}) AS digest, count(*) FILTER (p OR w)::INT AS changed FROM r GROUP BY 1""",
+    "netlist_set_parameter": f"""WITH {_L} SELECT deck_id, line, CASE WHEN regexp_matches(raw, '(^|\\s)W\\s*=\\s*\\S+') THEN regexp_replace(raw, '(^|\\s)W\\s*=\\s*\\S+', '\\1W=9u', 'g') ELSE raw || ' W=9u' END AS w,
+  CASE WHEN regexp_matches(raw, '(^|\\s)NF\\s*=\\s*\\S+') THEN regexp_replace(raw, '(^|\\s)NF\\s*=\\s*\\S+', '\\1NF=2', 'g') ELSE raw || ' NF=2' END AS nf FROM l WHERE NOT starts_with(trim(raw), '*') AND regexp_matches(raw, '^[Mm]\\d')""",
     "netlist_paths": """WITH p AS (SELECT DISTINCT action.arguments.netlist AS path FROM rl_ngspice_demo WHERE action.arguments.netlist IS NOT NULL AND NOT contains(action.arguments.netlist, chr(10))), q AS (SELECT path, replace(path, '\\', '/') AS p FROM p)
 SELECT path, CASE WHEN regexp_matches(p, '^[A-Za-z]:/') THEN '/mnt/' || lower(p[1]) || '/' || regexp_replace(p, '^[A-Za-z]:/+', '') ELSE p END AS shared FROM q""",
     "netlist_templates": "SELECT id, 'name,supply,load' AS names, CASE WHEN load IS NOT NULL THEN id || ' at ' || coalesce(CASE WHEN NOT isnan(supply) THEN printf('%.1f', supply) END, '?') || ' V, ' || load || '; ' || id END AS text FROM eval_task",

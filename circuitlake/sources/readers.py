@@ -72,7 +72,7 @@ def tasks(spark: SparkSession, path: str, contains: str = "") -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
-        keys = [f.split(" ")[0] for f in ("id x, category x, pdk x, supply x, topology_hint x, load x, description x, specs x, corners x, temp_range x, pass_criteria x, difficulty x").split(", ")]
+        keys = ("id", "category", "pdk", "supply", "topology_hint", "load", "description", "specs", "corners", "temp_range", "pass_criteria", "difficulty")
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
