@@ -55,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the tables of `cut`, removed with them."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/files/{uuid.uuid4().hex}"
+    _WRITTEN.append((sc.applicationId, path))
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df itself, or dealt out over all cores if it comes in fewer than half as many parts (small files)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

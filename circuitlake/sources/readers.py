@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,12 +121,13 @@ AXES = ("time", "frequency", "v-sweep", "temp-sweep", "i-sweep")
 RAW = "run string, variable string, i int, re double, im double"
 
 
-def parse_raw(data: bytes) -> list[tuple[str, int, float, float | None]]:
+def parse_raw(data: bytes) -> pd.DataFrame:
     """(variable, i, re, im) of a binary simulator file: a text header, then doubles row by row,
     16 bytes a value when complex. A cut tail gives what was read; a bad header gives nothing."""
+    nothing = pd.DataFrame({"variable": pd.Series(dtype=str), "i": pd.Series(dtype="int32"), "re": pd.Series(dtype=float), "im": pd.Series(dtype=float)})
     head, mark, body = data.partition(b"Binary:\n")
     if not mark:
-        return []
+        return nothing
     fields, names = {}, []
     for line in head.decode("utf-8", errors="ignore").splitlines():
         if line[:1] in ("\t", " ") and len(line.split()) >= 2:
@@ -137,15 +138,16 @@ def parse_raw(data: bytes) -> list[tuple[str, int, float, float | None]]:
     try:
         n_vars, n_points = int(fields["no. variables"]), int(fields["no. points"])
     except (KeyError, ValueError):
-        return []
+        return nothing
     if len(names) != n_vars or not n_vars:
-        return []
-    size = 16 if "complex" in fields.get("flags", "").lower() else 8
-    out = []
-    for k in range(min(n_points * n_vars, len(body) // size)):
-        got = struct.unpack_from("<dd" if size == 16 else "<d", body, k * size)
-        out.append((names[k % n_vars], k // n_vars, got[0], got[1] if size == 16 else None))
-    return out
+        return nothing
+    kind = np.dtype("<c16" if "complex" in fields.get("flags", "").lower() else "<f8")
+    n = min(n_points * n_vars, len(body) // kind.itemsize)
+    got = np.frombuffer(body, kind, n)
+    at = np.arange(n)
+    im = got.imag if kind.kind == "c" else np.full(n, np.nan)
+    out = pd.DataFrame({"variable": np.array(names, object)[at % n_vars], "i": (at // n_vars).astype(np.int32), "re": got.real, "im": im})
+    return out if kind.kind == "c" else out.assign(im=pd.array([None] * n, dtype="Float64"))
 
 
 def raw_results(spark: SparkSession, path: str) -> DataFrame:
@@ -155,8 +157,9 @@ def raw_results(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                run = path.rsplit("/", 1)[-1].removesuffix(".raw")
-                yield pd.DataFrame([(run, *r) for r in parse_raw(content)], columns=["run", "variable", "i", "re", "im"]).astype({"i": "int32", "re": "float64", "im": "float64"})
+                got = parse_raw(content)
+                got.insert(0, "run", path.rsplit("/", 1)[-1].removesuffix(".raw"))
+                yield got
 
     return files.mapInPandas(parse, RAW)
 
@@ -186,10 +189,12 @@ def results(raw: DataFrame) -> DataFrame:
 
 
 class MockSimulator(DataSource):
-    """Deterministic simulator results: format("mocksim") with options runs, points, corner.
+    """Deterministic simulator results: format("mocksim") with options analysis, runs, points, corner.
 
-    y is a single-pole response in dB over a log sweep; corner ss is derated by 0.8, ff
-    raised by 1.2, whatever else is nominal. No random numbers, so results can be checked.
+    ac: a single-pole response in dB over a log sweep; dc: a saturating transfer curve; tran: a
+    first-order step; noise: a flat floor with a 1/f corner; mc: one value a point, spread by a
+    fixed low-discrepancy sequence. Corner ss is derated by 0.8, ff raised by 1.2, whatever else
+    is nominal. No random numbers, so results can be checked.
     """
 
     @classmethod
@@ -206,7 +211,7 @@ class MockSimulator(DataSource):
 class MockReader(DataSourceReader):
     def __init__(self, options):
         self.runs, self.points = int(options.get("runs", 4)), int(options.get("points", 101))
-        self.corner = options.get("corner", "tt")
+        self.corner, self.analysis = options.get("corner", "tt"), options.get("analysis", "ac")
 
     def partitions(self):
         return [InputPartition(r) for r in range(self.runs)]
@@ -216,9 +221,48 @@ class MockReader(DataSourceReader):
 
         run = partition.value
         factor = {"ss": 0.8, "ff": 1.2}.get(self.corner, 1.0)
+        last = max(1, self.points - 1)
         for i in range(self.points):
-            x = 10 ** (i * 8 / max(1, self.points - 1))
-            yield run, self.corner, i, x, factor * (40 + run - 10 * math.log10(1 + (x / 1e4) ** 2))
+            if self.analysis == "ac":
+                x = 10 ** (i * 8 / last)
+                y = 40 + run - 10 * math.log10(1 + (x / 1e4) ** 2)
+            elif self.analysis == "dc":
+                x = i * 1.8 / last
+                y = 1.8 / (1 + math.exp((x - 0.9) * (10 + run)))
+            elif self.analysis == "tran":
+                x = i * 1e-6 / last
+                y = 1 - math.exp(-x * (5e6 + 1e6 * run))
+            elif self.analysis == "noise":
+                x = 10 ** (1 + i * 5 / last)
+                y = (10 + run) * math.sqrt(1 + 1e3 / x)
+            elif self.analysis == "mc":
+                x = float(i)
+                y = 1.2 + 0.01 * ((i * 0.6180339887498949) % 1 - 0.5) + 0.001 * run
+            else:
+                raise ValueError(f"no analysis {self.analysis}")
+            yield run, self.corner, i, x, factor * y
+
+
+#: Adapters by name, each a function of (spark, options) that gives (run, corner, i, x, y).
+ADAPTERS = {"mock": lambda spark, **options: _mock(spark, options)}
+
+
+def _mock(spark: SparkSession, options: dict) -> DataFrame:
+    spark.dataSource.register(MockSimulator)
+    return spark.read.format("mocksim").options(**options).load()
+
+
+def adapter(name: str):
+    """The simulator adapter of a name; unknown names are refused with those that are known."""
+    if name not in ADAPTERS:
+        raise ValueError(f"no adapter {name!r}; there are {sorted(ADAPTERS)}")
+    return ADAPTERS[name]
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """Sources of a manifest, a JSON array."""
+    schema = "id string, name string, category string, license string, license_compatible boolean, url string, token_count long, notes string"
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def trainer_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -230,5 +274,8 @@ def trainer_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_chats(spark: SparkSession, path: str, n: int, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """The first n chats in order of file name and id (the feature is the limit)."""
-    return chats(spark, path, excluded).orderBy("_source", "id").limit(n)
+    """The first n chats in order of id (the feature is the limit): those of prepared files
+    (train_*) if the folder has any, else all."""
+    prepared = spark.read.schema(CHAT).option("pathGlobFilter", "train_*.jsonl").json(path).filter(F.col("messages").isNotNull())
+    rows = chats(spark, path, excluded).drop("_source") if prepared.limit(1).count() == 0 else prepared
+    return rows.orderBy("id").limit(n)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +13,58 @@ from pyspark.sql import types as T
 from circuitlake.functions.mathx import is_finite, significant
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON document per line; written in parallel, one file per partition."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+def _folder(path: str):
+    """(file system, folder) of a path or URI, created if need be."""
+    from pyarrow import fs
+
+    where, folder = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
+    where.create_dir(folder, recursive=True)
+    return where, folder
+
+
+def write_jsonl(df: DataFrame, path: str, name: str = "part") -> int:
+    """One JSON document per line in files name-00000.jsonl and so on, written in parallel, one
+    per partition; a repeated task writes the same file again. Returns the number of lines."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = _folder(path)
+        n = 0
+        with where.open_output_stream(f"{folder}/{name}-{TaskContext.get().partitionId():05d}.jsonl") as out:
+            for b in batches:
+                for line in b.column(0).to_pylist():
+                    out.write(line.encode() + b"\n")
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows = df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(write, "n long")
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
+def write_files(df: DataFrame, path: str) -> int:
+    """One file per row (name, content), written in parallel; returns their number."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = _folder(path)
+        n = 0
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows = df.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n long")
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
+def write_run_reports(results: DataFrame, path: str) -> int:
+    """One report {model, passed, errors, results: [...]} per model of results (model, task_id,
+    passed, final_score, steps, wall_time_sec, error); a report is one document, so the results of
+    one run must fit in one row."""
+    row = F.struct("task_id", "passed", "final_score", "steps", "wall_time_sec", "error")
+    docs = results.groupBy("model").agg(F.count_if("passed").alias("passed"), F.count("error").alias("errors"), F.array_sort(F.collect_list(row)).alias("results"))
+    return write_files(docs.select(F.concat(F.col("model"), F.lit(".json")).alias("name"), F.to_json(F.struct("*")).alias("content")), path)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -49,8 +49,9 @@ def test_raw_files(spark, tmp_path):
     (tmp_path / "bad.raw").write_bytes(b"nothing here")
     rows = readers.raw_results(spark, str(tmp_path))
     assert rows.count() == 6
-    assert readers.parse_raw(raw([(0.0, 1.0), (1.0, 2.0)], cut=4)) == [("time", 0, 0.0, None), ("v(out)", 0, 1.0, None), ("time", 1, 1.0, None)]
-    assert readers.parse_raw(raw([(0j, 1 + 2j)], True))[1] == ("v(out)", 0, 1.0, 2.0)
+    cut = readers.parse_raw(raw([(0.0, 1.0), (1.0, 2.0)], cut=4))
+    assert cut[["variable", "i", "re"]].values.tolist() == [["time", 0, 0.0], ["v(out)", 0, 1.0], ["time", 1, 1.0]] and cut["im"].isna().all()
+    assert readers.parse_raw(raw([(0j, 1 + 2j)], True)).values.tolist()[1] == ["v(out)", 0, 1.0, 2.0]
     # a vector that lost a sample is not as long as its axis
     assert readers.results(rows).count() == 0
     (tmp_path / "r2.raw").write_bytes(raw([(0.0, 1.0), (1.0, 2.0)]))
