@@ -401,9 +401,12 @@ def tran_metrics(t: np.ndarray, y: np.ndarray, drive: np.ndarray | None = None)
         return out, notes
     if drive is not None:
         dv = levels(t, np.asarray(drive, float))
-        if dv["kind"] == "pulse" and lv["kind"] == "step":
-            notes["all"] = "drive_ended_first"
-            return out, notes
+        if dv["kind"] == "pulse" and len(y) >= 4:
+            # the output must have settled by the end of the drive's own first plateau
+            ratio = settle_ratio(t, y, dv["end"], max(2, int((dv["end"] + 1) * WINDOW)))
+            if ratio is not None and ratio > SETTLE_RATE:
+                notes["all"] = "drive_ended_first"
+                return out, notes
     y0, y1, end = lv["y0"], lv["y1"], lv["end"]
     step = y1 - y0
     out |= {"y0": y0, "y1": y1}
