@@ -299,7 +299,14 @@ def dataset_report(runs: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: trajectories, invalid ones, errors, the most frequent error's count."""
     bad = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     per = runs.select("run_id").distinct().join(bad, "run_id", "left")
-    return per.agg(F.count(F.lit(1)).alias("runs"), F.count("n").alias("invalid"), F.coalesce(F.sum("n"), F.lit(0)).alias("errors"))
+    totals = per.agg(F.count(F.lit(1)).alias("runs"), F.count("n").alias("invalid"), F.coalesce(F.sum("n"), F.lit(0)).alias("errors"))
+    most = errors.groupBy("error").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most_frequent"))
+    return totals.crossJoin(most)  # one row each
+
+
+def first_errors(errors: Column, n: int = 20) -> Column:
+    """The first n of a list of errors, and how many there are (the limit is the feature)."""
+    return F.struct(F.slice(errors, 1, n).alias("first"), F.size(errors).alias("total"))
 
 
 def to_chat(steps: DataFrame) -> DataFrame:

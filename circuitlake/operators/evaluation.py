@@ -211,3 +211,13 @@ def html_report(results: DataFrame) -> str:
         cells = "".join(f"<td>{escape(str(x))}</td>" for x in (r["category"], r["difficulty"], r["n"], f"{pct}%"))
         lines.append(f'<tr>{cells}<td><div style="width:{max(0, min(100, pct))}px"></div></td></tr>')
     return "<table>" + "".join(lines) + "</table>"
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Rows per status, as template checks report them."""
+    return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def agent_totals(replies: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Summed tokens and seconds of agent replies (*by, tokens, seconds)."""
+    return replies.groupBy(*by).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from circuitlake.functions import mathx
 from circuitlake.operators import signals as sig
+from circuitlake.runtime import small
 
 OUTPUTS = ("out", "vout", "output")
 INPUTS = ("in", "vin", "input")
@@ -162,3 +163,35 @@ def grounded_specs(measured: DataFrame, seed: int, keep: int = 3) -> DataFrame:
     low = F.when(F.col("larger_is_better"), F.col("value") / f)
     high = F.when(~F.col("larger_is_better"), F.col("value") * f)
     return rows.select("run", "name", low.alias("low"), high.alias("high"))
+
+
+def corner_lookup(requests: DataFrame, corners: DataFrame) -> DataFrame:
+    """(.., section, voltage, temperature) of requests (pdk, corner, ..) by the corner table (pdk,
+    corner, section, voltage, temperature), a dimension. Names are compared in lower case; no corner
+    means tt for the section and nothing for the rest; what is not configured stays null."""
+    name = F.lower(F.trim("corner"))
+    one = corners.select("pdk", F.lower("corner").alias("_c"), "section", "voltage", "temperature")
+    rows = requests.withColumn("_n", name)
+    section = small(one.select(F.col("pdk").alias("_p"), F.col("_c").alias("_s"), "section"))
+    rows = rows.join(section, (F.col("pdk") == F.col("_p")) & (F.coalesce("_n", F.lit("tt")) == F.col("_s")), "left").drop("_p", "_s")
+    pvt = small(one.select(F.col("pdk").alias("_p"), "_c", "voltage", "temperature"))
+    return rows.join(pvt, (F.col("pdk") == F.col("_p")) & (F.col("_n") == F.col("_c")), "left").drop("_p", "_c", "_n")
+
+
+def sizing(candidates: DataFrame, low: Column, fails: float = -1.0) -> DataFrame:
+    """(task, candidate, text, gain, score) of sizing candidates (task, candidate, template, values):
+    values are put into the template, its features read, its gain predicted without noise and
+    scored against `low`. A candidate whose template lacks a value scores `fails`.
+    """
+    from circuitlake.functions import scores
+    from circuitlake.operators import netlists
+
+    filled = candidates.withColumn("text", netlists.fill(F.col("template"), F.col("values")))
+    rows = features(filled).withColumn("gain", F.when(F.col("text").isNotNull(), mock_gain(F.col("total_width"), F.col("devices"), F.col("candidate"), 0, 0.0)))
+    score = F.coalesce(F.when(F.col("gain").isNotNull(), scores.contract(F.col("gain"), low, F.lit(None).cast("double"))), F.lit(fails))
+    return rows.select("task", "candidate", "text", "gain", score.alias("score"))
+
+
+def best_sizing(scored: DataFrame) -> DataFrame:
+    """The best candidate of each task, ties to the smallest candidate."""
+    return scored.groupBy("task").agg(F.min_by(F.struct("candidate", "gain", "score"), F.struct(-F.col("score"), "candidate")).alias("b")).select("task", "b.*")

@@ -102,3 +102,24 @@ def suggest_topology(tasks: DataFrame) -> DataFrame:
     analog = analog.select("task", F.row_number().over(w).alias("rank"), "topology")
     digital = tasks.filter("digital").select("task", F.posexplode(F.array(*[F.lit(t) for t in DIGITAL])).alias("p", "topology"))
     return analog.unionByName(digital.select("task", (F.col("p") + 1).alias("rank"), "topology"))
+
+
+def context(tasks: DataFrame, neighbours: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
+    """(task, context): the process notes of tasks (task, notes) and their k most similar past
+    designs among neighbours (task, other, similarity, success, score); says so if there are none."""
+    best = top_similar(neighbours, k, least)
+    outcome = F.when(F.coalesce("success", F.lit(False)), "met its specs").otherwise("missed its specs")
+    line = F.format_string("- %s: similarity %.2f, %s, score %.3f", "other", "similarity", outcome, F.coalesce("score", F.lit(0.0)))
+    listed = best.select("task", F.struct("rank", line.alias("line")).alias("l")).groupBy("task").agg(F.array_sort(F.collect_list("l")).alias("l"))  # k entries at most
+    past = F.concat(F.lit("## Past designs\n"), F.coalesce(F.array_join(F.col("l.line"), "\n"), F.lit("none in memory")))
+    notes = F.when(F.trim("notes") != "", F.concat(F.lit("## Process\n"), F.trim("notes")))
+    return tasks.join(listed, "task", "left").select("task", F.concat_ws("\n\n", notes, past).alias("context"))
+
+
+def assemble(sections: list[Column], budget: int) -> Column:
+    """A prompt of sections in order of priority, blank ones left out: the last ones are dropped
+    until the estimated tokens are within the budget; the first one always stays."""
+    parts = F.filter(F.array(*sections), lambda s: s.isNotNull() & (s != ""))
+    tries = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "\n\n"))
+    fitting = F.filter(tries, lambda t: token_cost(F.length(t)) <= budget)
+    return F.when(F.size(parts) > 0, F.coalesce(F.try_element_at(fitting, F.lit(-1)), F.element_at(parts, 1))).otherwise("")

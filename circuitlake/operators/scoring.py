@@ -110,3 +110,21 @@ def coverage(specs: DataFrame, results: DataFrame, by: tuple[str, ...] = ("task_
     """Measured share of each group's specs; 0 when there are none."""
     marked = specs.join(results.select(*by, "spec", F.lit(1).alias("hit")).distinct(), [*by, "spec"], "left")
     return marked.groupBy(*by).agg(F.coalesce(F.try_divide(F.count("hit"), F.count(F.lit(1))), F.lit(0.0)).alias("coverage"))
+
+
+def spec_check(extracted: DataFrame, specs: DataFrame, by: tuple[str, ...] = ("task_id",), least: float = 0.95) -> DataFrame:
+    """(*by, score, measured, unmeasurable, success) of extracted values (*by, spec, value, reason)
+    against specs (*by, spec, low, high, target, weight).
+
+    Only what was measured is scored; a check succeeds if that score reaches `least` and
+    nothing was unmeasurable. Specs without any row count as unmeasurable.
+    """
+    joined = specs.join(extracted.select(*by, "spec", "value"), [*by, "spec"], "left")
+    one = scores.contract(F.col("value"), F.col("low"), F.col("high"))
+    hit = F.col("value").isNotNull()
+    agg = joined.groupBy(*by).agg(
+        F.try_divide(F.sum(F.when(hit, F.greatest(one, F.lit(0.0)) * F.col("weight"))), F.sum(F.when(hit, F.col("weight")))).alias("score"),
+        F.count_if(hit).alias("measured"), F.count_if(~hit).alias("unmeasurable"),
+    )
+    score = F.coalesce("score", F.lit(0.0))
+    return agg.select(*by, score.alias("score"), "measured", "unmeasurable", ((score >= least) & (F.col("unmeasurable") == 0)).alias("success"))

@@ -214,3 +214,11 @@ def transfer(out: DataFrame, inp: DataFrame) -> DataFrame:
         "run", "x", F.when(den == 0, nan).otherwise(mathx.db20(mag)).alias("db"),
         F.when((den == 0) | (mag == 0), nan).otherwise(F.degrees(F.atan2(im, re))).alias("deg"),
     )
+
+
+def normalize_phase(points: DataFrame) -> DataFrame:
+    """Phases of (run, x, y) shifted by the whole half turns of each run's first finite sample."""
+    finite = points.filter("y is not null and not isnan(y)")
+    first = finite.groupBy("run").agg(F.min_by("y", "x").alias("_first"))
+    shift = F.round(F.col("_first") / 180.0) * 180.0
+    return points.join(first, "run", "left").select("run", "x", (F.col("y") - F.coalesce(shift, F.lit(0.0))).alias("y"))

@@ -54,7 +54,10 @@ def first_calls(spark, d):
 
 
 def to_chat(spark, d):
-    return conv.to_chat(_steps(spark, d)).select("run_id", "step", "role", "tool", F.length("content").alias("chars"))
+    rows = conv.to_chat(_steps(spark, d))
+    call = F.contains("content", F.lit("<tool_call>"))
+    text = F.regexp_replace("content", r"(?s)\n<tool_call>\{\"name.*$", "")
+    return rows.select("run_id", "step", "role", "tool", call.alias("call"), F.md5(text).alias("digest"))
 
 
 def prompts(spark, d):
@@ -160,9 +163,11 @@ UNION ALL SELECT run_id, step, 'early_tool' FROM w WHERE role = 'tool' AND NOT s
 SELECT count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(n), 6) AS mean_steps, round(avg(total), 6) AS mean_reward FROM p""",
     "conv_task_prompts": """SELECT id, concat_ws(chr(10), 'Task category: ' || category, description, CASE WHEN NOT isnan(supply) THEN 'Supply: ' || printf('%.2f', supply) END, 'Load: ' || load) AS prompt FROM eval_task""",
 }
+SQL["conv_to_chat"] = f"""WITH {_STEPS}, x AS (SELECT *, coalesce(observation, content, '') AS t FROM s)
+SELECT run_id, step, role, action.name AS tool, action IS NOT NULL OR contains(t, '<tool_call>') AS call, md5(t) AS digest FROM x"""
 SQL["conv_tool_names"] = f"WITH {_CONTRACT} SELECT string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM contract"
 SQL["conv_system_message"] = f"""WITH {_CONTRACT} SELECT md5('{_PROMPT}' || chr(10) || chr(10) || '# Tools' || string_agg(chr(10) || chr(10) || '## ' || name ||
   coalesce(list_aggregate(list_transform(required, lambda a: chr(10) || '- ' || a || ' (required)'), 'string_agg', ''), ''), '' ORDER BY pos)) AS digest FROM contract"""
 _se = SQL["conv_step_errors"]
 SQL["conv_dataset_report"] = f"""WITH e AS ({_se}), b AS (SELECT run_id, count(*) AS n FROM e GROUP BY 1), r AS (SELECT DISTINCT run_id FROM rl_ngspice_demo)
-SELECT count(*) AS runs, count(n) AS invalid, coalesce(sum(n), 0)::BIGINT AS errors FROM r LEFT JOIN b USING (run_id)"""
+SELECT count(*) AS runs, count(n) AS invalid, coalesce(sum(n), 0)::BIGINT AS errors, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY error)), 0)::BIGINT AS most_frequent FROM r LEFT JOIN b USING (run_id)"""
