@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": _over(
         lambda t: repeats.repeated_actions(t).filter("n_events >= 2").select("run_id", "first_step", "last_step"), "rl_ngspice_demo"
     ),
+    "p2_names": _over(repeats.repeated_names, "rl_ngspice_demo"),
     "p2_events": _over(repeats.repeated_actions, "rl_ngspice_demo"),
     "p3_found": _over(brokenpairs.found, "benchmark"),
     "p3_posteriors": _over(brokenpairs.of_benchmark, "benchmark"),
@@ -98,6 +99,32 @@ WITH RECURSIVE {_WORDS},
   reach AS (SELECT DISTINCT u AS a, u AS b FROM edges UNION SELECT reach.a, edges.v FROM reach JOIN edges ON edges.u = reach.b)
 SELECT min(b) AS group_id, a AS id FROM reach GROUP BY a
 """,
+    "p1_whole": "SELECT count(DISTINCT id) AS records, 0 AS torn, true AS near_train, true AS near_val, true AS near_test FROM demo_output WHERE id IS NOT NULL",
+    "p2_names": """
+WITH s AS (SELECT run_id, step::BIGINT AS step, action.name AS name, ts FROM rl_ngspice_demo WHERE run_id IS NOT NULL AND step IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY received_at IS NULL, received_at) = 1),
+  m AS (SELECT *, CASE WHEN name IS NOT DISTINCT FROM lag(name) OVER w AND name IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT run_id, min(step) AS first_step, max(step) AS last_step, name AS action, count(*) AS n_events, (epoch_us(list(ts ORDER BY step)[-1]) - epoch_us(list(ts ORDER BY step)[1])) / 1e6 AS duration_s
+FROM (SELECT run_id, g, name, step, ts FROM g WHERE name IS NOT NULL) GROUP BY run_id, g, name
+""",
+    "p5_report": f"""
+WITH {_WORDS},
+  src AS (SELECT id, any_value(source) AS source FROM demo_output GROUP BY id),
+  l AS (SELECT CASE WHEN sa = 'train' THEN id_a ELSE id_b END AS t, CASE WHEN sa = 'train' THEN id_b ELSE id_a END AS e, CASE WHEN sa = 'train' THEN sb ELSE sa END AS eval_split
+        FROM near WHERE (sa = 'train' AND sb IN ('val', 'test')) OR (sb = 'train' AND sa IN ('val', 'test')))
+SELECT eval_split, source AS source_eval, count(*) AS pairs, count(DISTINCT e) AS eval_records, count(DISTINCT t) AS train_records FROM l JOIN src ON src.id = l.e GROUP BY ALL
+""",
+    "p6_groups": f"""
+WITH RECURSIVE {_WORDS},
+  edges AS (SELECT id_a AS u, id_b AS v FROM near UNION ALL SELECT id_b, id_a FROM near),
+  reach AS (SELECT DISTINCT u AS a, u AS b FROM edges UNION SELECT reach.a, edges.v FROM reach JOIN edges ON edges.u = reach.b),
+  content AS (SELECT id, md5(array_to_string(list_sort(ws), ' ')) AS c FROM bags),
+  n AS (SELECT u AS id, count(DISTINCT y.c) FILTER (y.c <> x.c) AS n_links FROM edges JOIN content x ON x.id = u JOIN content y ON y.id = v GROUP BY u)
+SELECT min(b) AS group_id, a AS id, any_value(n_links) AS n_links FROM reach JOIN n ON n.id = a GROUP BY a
+""",
+    "p7_whole": r"SELECT count(DISTINCT doc_id) AS documents, 0 AS late, 0 AS gap, 0 AS split, 0 AS overfull FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\S')",
+    "p9_whole": "SELECT source, count(DISTINCT doc_id) AS documents, 0 AS odd FROM documents WHERE doc_id IS NOT NULL GROUP BY source",
     "p8_found": r"""
 WITH
   docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
@@ -107,3 +134,4 @@ WITH
 SELECT DISTINCT doc_id, id AS task_id FROM runs JOIN keys USING (g)
 """,
 }
+SQL["p8_sources"] = f"SELECT source, count(DISTINCT f.doc_id) AS leaked FROM documents d LEFT JOIN ({SQL['p8_found']}) f ON f.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL GROUP BY source"

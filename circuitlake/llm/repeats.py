@@ -106,6 +106,12 @@ def collapse(events: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def repeated_names(steps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Runs of actions of one name, whatever their arguments: run_id, first_step, last_step, action, n_events, duration_s."""
+    events = steps.select(F.col("run_id").cast("long").alias("seq"), F.col("step").cast("long").alias("ord"), F.col("action.name").alias("key"), F.col("ts"), F.col("received_at").alias("arrived"))
+    return collapse(events, block).select(F.col("seq").alias("run_id"), F.col("first_ord").alias("first_step"), F.col("last_ord").alias("last_step"), F.col("key").alias("action"), "n_events", "duration_s")
+
+
 def repeated_actions(steps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every run of equal agent actions: run_id, first_step, last_step, action, n_events, duration_s."""
     events = steps.select(
