@@ -14,10 +14,10 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,30 +128,57 @@ def resolve_unit(unit: str | None, text_unit: str | None, note: str | None, dime
     return reading, "common" if up.same_unit(reading, target) else "convert"
 
 
+#: How a reading becomes a value in its dimension's base unit.
+_KINDS = ("plain", "ratio", "rad", "dBm", "K", "degF")
+
+
+@lru_cache(maxsize=262144)
+def _plan(unit: str | None, text_unit: str | None, note: str | None, dimension: str, common: str) -> tuple[str, int, float, float]:
+    """(status, kind, power of ten of the unit, that of the common unit) of one way to name a unit."""
+    reading, status = resolve_unit(unit, text_unit, note, dimension, common)
+    if reading is None:
+        return status, -1, 0.0, 0.0
+    kind = next((i for i, k in enumerate(_KINDS) if k in dict(reading.factors)), 0)
+    return status, kind, reading.power, up.parse(common, dimension).power
+
+
+def _scaled(x: np.ndarray, power: np.ndarray) -> np.ndarray:
+    return np.where(power >= 0, x * 10.0 ** np.maximum(power, 0), x / 10.0 ** np.maximum(-power, 0))
+
+
 def _convert_batch(
     value: pd.Series, unit: pd.Series, metric: pd.Series, text: pd.Series, note: pd.Series, dimension: pd.Series, common: pd.Series
 ) -> pd.DataFrame:
-    out_value, out_status = [], []
-    for v, u, m, t, n, d, c in zip(value, unit, metric, text, note, dimension, common, strict=True):
-        got, status = None, "no_number"
-        if not isinstance(d, str) or not isinstance(c, str):
-            status = "unknown_metric"
-        else:
-            x = None if v is None or v != v else float(v)
-            tx, tu = read_text(t, m) if isinstance(t, str) else (None, None)
-            x = tx if x is None else x
-            if x is not None and math.isfinite(x):
-                reading, status = resolve_unit(u if isinstance(u, str) else None, tu, n if isinstance(n, str) else None, d, c)
-                if reading is not None:
-                    base = up.to_base(x, reading)
-                    y = None if base is None else up.from_base(base, up.parse(c, d))
-                    if y is None or not math.isfinite(y) or abs(y) >= 9.2e18:
-                        status = "out_of_range"
-                    else:
-                        got = int(round(y))
-        out_value.append(got)
-        out_status.append(status)
-    return pd.DataFrame({"common_value": pd.array(out_value, dtype="Int64"), "status": out_status})
+    """Ways to name a unit are resolved once each; numbers are converted column-wise."""
+    n = len(value)
+    x = value.to_numpy(dtype=float, na_value=np.nan).copy()
+    known = np.array([isinstance(d, str) and isinstance(c, str) for d, c in zip(dimension, common, strict=True)], bool)
+    stated: list[str | None] = [None] * n
+    for i in np.flatnonzero(known & text.notna().to_numpy()):
+        number_, stated[i] = read_text(text.iat[i], metric.iat[i])
+        if np.isnan(x[i]) and number_ is not None:
+            x[i] = number_
+    usable = known & np.isfinite(x)
+    plans: dict[tuple, int] = {}
+    code = np.zeros(n, np.int64)
+    u, no, d, c = (s.where(s.notna(), None).tolist() for s in (unit, note, dimension, common))
+    for i in np.flatnonzero(usable):
+        code[i] = plans.setdefault((u[i], stated[i], no[i], d[i], c[i]), len(plans))
+    got = [_plan(*key) for key in plans] or [("no_unit", -1, 0.0, 0.0)]
+    kind, power, target = (np.array([g[k] for g in got], float)[code] for k in (1, 2, 3))
+    with np.errstate(all="ignore"):
+        base = _scaled(np.where(usable, x, 0.0), power)
+        base = np.select(
+            [kind == 1, kind == 2, kind == 3, kind == 4, kind == 5],
+            [np.where(base > 0, 20.0 * np.log10(np.where(base > 0, base, 1.0)), np.nan), np.degrees(base), np.where(base < 3000, 10.0 ** (np.minimum(base, 3000) / 10.0) / 1000.0, np.nan), base - 273.15, (base - 32.0) * 5.0 / 9.0],
+            base,
+        )
+        y = np.where(target >= 0, base / 10.0 ** np.maximum(target, 0), base * 10.0 ** np.maximum(-target, 0))
+        fine = usable & (kind >= 0) & np.isfinite(y) & (np.abs(y) < 9.2e18)
+    status = np.where(~known, "unknown_metric", np.where(~usable, "no_number", np.array([g[0] for g in got], object)[code]))
+    status = np.where(usable & (kind >= 0) & ~fine, "out_of_range", status)
+    whole = np.rint(np.where(fine, y, 0.0)).astype(np.int64)
+    return pd.DataFrame({"common_value": pd.array(whole, dtype="Int64").copy(), "status": status}).assign(common_value=lambda f: f["common_value"].mask(~fine))
 
 
 def convert(measurements: DataFrame, metric_unit: DataFrame, meas_source: DataFrame) -> DataFrame:
