@@ -34,7 +34,7 @@ ROOTS = {
     "rtHz": ("rtHz", "√Hz", "sqrt(Hz)", "Hz^0.5", "√(Hz)"),
 }
 
-SEPARATORS = {"/": -1, " per ": -1, "·": 1, "*": 1, " ": 1}
+SEPARATORS = {"/": -1, " / ": -1, " per ": -1, "·": 1, "*": 1, " ": 1}
 EXPONENTS = {"^-0.5": -0.5, "^-1/2": -0.5, "^0.5": 0.5, "^1/2": 0.5, "^-1": -1.0, "^1": 1.0, "^2": 2.0}
 
 #: Dimension of the powers of roots that make it up (after sorting).
