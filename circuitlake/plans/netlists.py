@@ -1,4 +1,4 @@
-"""Deck queries over the netlists of rl_ngspice_demo and the documents that hold decks."""
+"""Deck queries over all netlists of rl_ngspice_demo that are deck text."""
 
 from __future__ import annotations
 

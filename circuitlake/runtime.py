@@ -65,9 +65,15 @@ def scratch(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df itself, or dealt out over all cores if it comes in fewer than half as many parts (small files)."""
+    """df itself, or dealt out over all cores if it is a scan in fewer than half as many parts (small files).
+
+    Plans with an exchange are left alone: counting their parts would run them.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    return df.repartition(cores) if 2 * plan.toRdd().getNumPartitions() <= cores else df
 
 
 def release(spark: SparkSession) -> None:
