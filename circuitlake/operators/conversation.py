@@ -310,10 +310,13 @@ def first_errors(errors: Column, n: int = 20) -> Column:
 
 
 def to_chat(steps: DataFrame) -> DataFrame:
-    """Chat message of every step: a result becomes the content, an action a tool call."""
+    """Chat message of every step: a result becomes the content, an action a tool call, both in the
+    text and as a list of calls with ids that the run and step make."""
     call = F.when(F.col("action").isNotNull(), F.concat(F.lit("\n<tool_call>"), F.to_json(F.struct("action.name", "action.arguments")), F.lit("</tool_call>")))
     text = F.concat(F.coalesce("observation", "content", F.lit("")), F.coalesce(call, F.lit("")))
-    return steps.select("run_id", "step", "role", text.alias("content"), F.col("action.name").alias("tool"))
+    entry = F.struct(F.concat_ws("_", F.lit("call"), "run_id", "step").alias("id"), F.col("action.name").alias("name"), F.to_json("action.arguments").alias("arguments"))
+    calls = F.when(F.col("action").isNotNull(), F.array(entry)).otherwise(F.array().cast("array<struct<id:string,name:string,arguments:string>>"))
+    return steps.select("run_id", "step", "role", text.alias("content"), F.col("action.name").alias("tool"), calls.alias("tool_calls"))
 
 
 def trajectory_statistics(steps: DataFrame) -> DataFrame:

@@ -222,3 +222,17 @@ def normalize_phase(points: DataFrame) -> DataFrame:
     first = finite.groupBy("run").agg(F.min_by("y", "x").alias("_first"))
     shift = F.round(F.col("_first") / 180.0) * 180.0
     return points.join(first, "run", "left").select("run", "x", (F.col("y") - F.coalesce(shift, F.lit(0.0))).alias("y"))
+
+
+def quick_metrics(seg: DataFrame, drop: float = 3.0) -> DataFrame:
+    """(run, first, bandwidth, swing, steepest) of segments (see `with_next`), to four significant
+    digits: the first value, the first x at which the value is `drop` or more below it, the
+    swing, and the largest slope by size with its sign."""
+    first = seg.groupBy("run").agg(F.min_by("y", "x").alias("first"))
+    rows = seg.join(first, "run")
+    slope = F.when(F.col("x1") > F.col("x"), (F.col("y1") - F.col("y")) / (F.col("x1") - F.col("x")))
+    got = rows.groupBy("run").agg(
+        F.max("first").alias("first"), F.min(F.when(F.col("y") <= F.col("first") - drop, F.col("x"))).alias("bandwidth"),
+        (F.max("y") - F.min("y")).alias("swing"), F.max_by(slope, F.struct(F.abs(slope), -F.col("x"))).alias("steepest"),
+    )
+    return got.select("run", *[mathx.significant(F.col(c), 4).alias(c) for c in ("first", "bandwidth", "swing", "steepest")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circuitlake.operators import conversation as conv
-from circuitlake.operators import evaluation, retrieval, scoring
+from circuitlake.operators import evaluation, retrieval, scoring, search
 from circuitlake.operators import netlists as net
 from circuitlake.operators import results as res
 from circuitlake.operators import signals as sig
@@ -155,8 +155,27 @@ def bounds(spark, d):
     return s.select(F.col("run").alias("part"), F.when(F.col("larger_is_better"), low).otherwise(high).alias("bounded")).join(j.select(F.col("task").alias("part"), ok.alias("jittered")), "part")
 
 
+def quick(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("run"), F.posexplode("embedding").alias("i", "y"))
+    return sig.quick_metrics(sig.with_next(v.select("run", (F.col("i") + 1.0).alias("x"), (F.col("y").cast("double") * 20).alias("y")), 16.0))
+
+
+def searched(spark, d):
+    """The optimum of a bowl around known values is found to a hundredth of the range."""
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("task"))
+    bounds = t.select("task", F.explode(F.array(F.lit("l"), F.lit("w"))).alias("name"), F.lit(0.0).alias("low"), F.lit(10.0).alias("high"))
+    goal = F.when(F.col("name") == "w", F.col("task") % 9 + 0.5).otherwise(9.5 - F.col("task") % 7)
+
+    def evaluate(rows):
+        total = rows.groupBy("task", "candidate").agg(F.sum(-F.pow(F.col("value") - goal, 2)).alias("score"))
+        return rows.join(total, ["task", "candidate"])
+
+    got = search.Shrinking().optimize(bounds, evaluate, 6)
+    return got.select("task", "name", (F.abs(F.col("value") - goal) <= 0.1).alias("found"))
+
+
 QUERIES = {
-    "agent_context": _contexts, "agent_prompts": prompts, "agent_totals": totals, "agent_statuses": statuses, "conv_first_errors": first_errors, "score_spec_check": checks,
+    "signal_quick": quick, "agent_search": searched, "agent_context": _contexts, "agent_prompts": prompts, "agent_totals": totals, "agent_statuses": statuses, "conv_first_errors": first_errors, "score_spec_check": checks,
     "signal_normalized_phase": phases, "netlist_elements": elements, "netlist_branches": branches, "netlist_corner_decks": corner_decks, "netlist_template_list": templates,
     "result_corners": corners, "result_sizing": sizings, "result_picks": picks, "result_pairs": pairs, "result_axes": axes, "result_provenance": provenance, "netlist_pinned": pinned,
     "netlist_noise_kinds": noise_kinds, "netlist_formatted": formatted, "result_scripted": scripted, "result_bounds": bounds,
@@ -191,6 +210,11 @@ _SOURCES = _L + r""",
   src AS (SELECT deck_id, scope, name, plus, minus, coalesce(nullif(h, '')::DOUBLE * """ + _SC.format(s="substr(v, length(h) + 1)") + r""", 'nan'::DOUBLE) AS dc FROM s7)"""
 
 SQL = {
+    "signal_quick": """WITH v AS (SELECT vec_id AS run, unnest(range(len(embedding))) + 1.0::DOUBLE AS x, unnest(embedding)::DOUBLE * 20 AS y FROM embeddings), f AS (SELECT run, arg_min(y, x) AS first FROM v GROUP BY run),
+  s AS (SELECT run, x, y, lead(y) OVER (PARTITION BY run ORDER BY x) - y AS dy FROM v)
+SELECT s.run, printf('%.3e', any_value(first))::DOUBLE AS first, printf('%.3e', min(x) FILTER (y <= first - 3))::DOUBLE AS bandwidth, printf('%.3e', max(y) - min(y))::DOUBLE AS swing,
+  printf('%.3e', arg_max(dy, abs(dy)))::DOUBLE AS steepest FROM s JOIN f ON f.run = s.run GROUP BY s.run""",
+    "agent_search": "SELECT s_suppkey AS task, n AS name, true AS found FROM supplier, (VALUES ('l'), ('w')) t(n)",
     "agent_context": f"WITH {_CTX} SELECT task, context FROM c",
     "agent_prompts": f"""WITH {_CTX}, p AS (SELECT task, list_filter(['You are a circuit design assistant. Use the tools you are given and never invent results.', '## Task' || chr(10) || description, '## State' || chr(10) || load, context, '## History' || chr(10) || 'none'], lambda x: x IS NOT NULL AND x <> '') AS s FROM c),
   t AS (SELECT task, s, n, array_to_string(s[1:n], chr(10) || chr(10)) AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS n FROM p))

@@ -57,7 +57,7 @@ def to_chat(spark, d):
     rows = conv.to_chat(_steps(spark, d))
     call = F.contains("content", F.lit("<tool_call>"))
     text = F.regexp_replace("content", r"(?s)\n<tool_call>\{\"name.*$", "")
-    return rows.select("run_id", "step", "role", "tool", call.alias("call"), F.md5(text).alias("digest"))
+    return rows.select("run_id", "step", "role", "tool", call.alias("call"), F.md5(text).alias("digest"), F.try_element_at("tool_calls", F.lit(1))["id"].alias("call_id"), F.size("tool_calls").alias("calls"))
 
 
 def prompts(spark, d):
@@ -164,7 +164,8 @@ SELECT count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(n), 6
     "conv_task_prompts": """SELECT id, concat_ws(chr(10), 'Task category: ' || category, description, CASE WHEN NOT isnan(supply) THEN 'Supply: ' || printf('%.2f', supply) END, 'Load: ' || load) AS prompt FROM eval_task""",
 }
 SQL["conv_to_chat"] = f"""WITH {_STEPS}, x AS (SELECT *, coalesce(observation, content, '') AS t FROM s)
-SELECT run_id, step, role, action.name AS tool, action IS NOT NULL OR contains(t, '<tool_call>') AS call, md5(t) AS digest FROM x"""
+SELECT run_id, step, role, action.name AS tool, action IS NOT NULL OR contains(t, '<tool_call>') AS call, md5(t) AS digest,
+  CASE WHEN action IS NOT NULL THEN 'call_' || run_id || '_' || step END AS call_id, (action IS NOT NULL)::INT AS calls FROM x"""
 SQL["conv_tool_names"] = f"WITH {_CONTRACT} SELECT string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM contract"
 SQL["conv_system_message"] = f"""WITH {_CONTRACT} SELECT md5('{_PROMPT}' || chr(10) || chr(10) || '# Tools' || string_agg(chr(10) || chr(10) || '## ' || name ||
   coalesce(list_aggregate(list_transform(required, lambda a: chr(10) || '- ' || a || ' (required)'), 'string_agg', ''), ''), '' ORDER BY pos)) AS digest FROM contract"""

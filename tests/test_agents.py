@@ -170,3 +170,27 @@ def test_entry_without_the_optional_queries():
     code = "import sys, warnings; sys.modules['xxhash'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q), 'p4_found' in q, any(n.startswith('p1') for n in q), set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root).stdout.split()
     assert int(out[0]) > 100 and out[1:] == ["True", "False", "True"]
+
+
+def test_search_finds_the_optimum_and_skips_failures(spark):
+    from circuitlake.operators import search
+
+    bounds = spark.createDataFrame([("t", "a", 0.0, 1.0), ("t", "b", -2.0, 2.0)], "task string, name string, low double, high double")
+    goal = {"a": 0.3, "b": -1.1}
+
+    def evaluate(rows):
+        gap = F.when(F.col("name") == "a", F.col("value") - goal["a"]).otherwise(F.col("value") - goal["b"])
+        total = rows.groupBy("task", "candidate").agg(F.sum(-gap * gap).alias("s"), F.max("value").alias("m"))
+        return rows.join(total.select("task", "candidate", F.when(F.col("m") < 1.5, F.col("s")).alias("score")), ["task", "candidate"])
+
+    got = {r["name"]: r.value for r in search.Shrinking().optimize(bounds, evaluate, 6).collect()}
+    assert all(abs(got[n] - v) < 0.06 for n, v in goal.items())
+    with pytest.raises(TypeError):
+        search.Optimizer()
+
+
+def test_quick_metrics(spark):
+    v = spark.createDataFrame([(1, 1.0, 10.0), (1, 2.0, 8.0), (1, 3.0, 6.5), (1, 4.0, 7.0), (2, 1.0, 5.0)], "run long, x double, y double")
+    rows = {r.run: r for r in sig.quick_metrics(sig.with_next(v, 8.0)).collect()}
+    assert (rows[1].first, rows[1].bandwidth, rows[1].swing, rows[1].steepest) == (10.0, 3.0, 3.5, -2.0)
+    assert rows[2].bandwidth is None and rows[2].steepest is None
