@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circuitlake.llm import labelmodel
-from circuitlake.runtime import cut, small, spread
+from circuitlake.runtime import cut, small
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Posterior cutoffs; tests/llm checks them on hand-made cases of every kind.
@@ -336,7 +336,7 @@ def label(pairs: DataFrame) -> DataFrame:
     """(id, defect, posterior) for every pair and defect, from pairs (id, prompt, response)."""
     spark = pairs.sparkSession
     base = pairs.filter("id is not null").groupBy("id").agg(F.min(F.struct(F.col("response").isNull().alias("z"), "response", "prompt")).alias("r"))
-    rows = cut(spread(base.select("id", "r.prompt", "r.response")).mapInPandas(_read, "id string, prompt string, response string, form long, tails array<long>, " + STATISTICS))
+    rows = cut(base.select("id", "r.prompt", "r.response").mapInPandas(_read, "id string, prompt string, response string, form long, tails array<long>, " + STATISTICS))
     # statistics over all rows
     endings = rows.select(F.explode(F.arrays_zip("keys", "ends", "mids")).alias("c")).groupBy(F.col("c.keys").alias("key"))
     endings = endings.agg(F.sum("c.ends").alias("ends"), F.sum("c.mids").alias("mids")).filter("ends + mids >= 3")
@@ -365,7 +365,9 @@ def label(pairs: DataFrame) -> DataFrame:
                 got.append(votes(prompt, response, ends / seen if seen else None, seen, share, model.value))
             yield pd.DataFrame({"id": b["id"], **{d: [v[d] for v in got] for d in DEFECTS}})
 
-    ballots = stats.mapInPandas(cast_votes, "id string, " + ", ".join(f"{d} array<int>" for d in DEFECTS))
+    # voting is the costly step: an exchange with a number is not coalesced to few parts
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ballots = stats.repartition(parts, "id").mapInPandas(cast_votes, "id string, " + ", ".join(f"{d} array<int>" for d in DEFECTS))
     ballots = cut(ballots)
     flat = ballots.select("id", F.explode(F.create_map(*[x for d in DEFECTS for x in (F.lit(d), F.col(d))])).alias("defect", "votes"))
     patterns = flat.groupBy("defect", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 5 per defect
