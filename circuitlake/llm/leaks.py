@@ -9,7 +9,7 @@ run of `RUN` words always does and edited or paraphrased copies do as well. The
 also gives the longest common run of words; `found` keeps the leaks where it reaches `RUN`.
 An edited copy without any seed left (no six words in a row) is not seen; tests/llm measures that share against alignment of all pairs.
 
-Test items are handled in blocks of at most `BLOCK_WORDS` words, each block one pass over
+Test items of equal text are one item until the end. They are handled in blocks of at most `BLOCK_WORDS` words, each block one pass over
 the corpus, so what is sent to the executors is bounded whatever the number of items.
 
 Defined results: null and blank texts match nothing; texts are read whole; a document
@@ -37,6 +37,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = RUN * MATCH
 #: Cells of the alignments done at once.
 CELLS = 1 << 16
+#: Windows collected before they are aligned.
+WINDOWS = 20_000
 BLOCK_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,31 +105,41 @@ class Block:
         return sorted(out)
 
 
+def _laid_out(windows: list[np.ndarray], cells: int) -> Iterator[np.ndarray]:
+    """The first words of all windows, the second ones, ...; at most `cells` (or one of each window) at once."""
+    step = max(1, cells // len(windows))
+    for at in range(0, max(map(len, windows)), step):
+        pieces = [w[at : at + step] for w in windows]
+        slab = np.full((max(map(len, pieces)), len(windows)), -2, np.int32)
+        for k, piece in enumerate(pieces):
+            slab[: len(piece), k] = piece
+        slab[slab == -1] = -2
+        yield from slab
+
+
 def align(windows: list[np.ndarray], items: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """(longest common run of words, Smith-Waterman score) of each window with its item, both
     sequences of ids; -1 matches nothing. Pairs of like length are aligned together, a word of
-    all windows at a time, so memory is bounded by `cells` (or one item) however long texts are.
+    all windows at a time and their words laid out in slabs, so memory is bounded by `cells` (or
+    one item) however long texts are, and a long window costs its neighbours nothing.
     """
     longest, best = np.zeros(len(windows), np.int32), np.zeros(len(windows), np.int32)
     order = sorted(range(len(windows)), key=lambda i: (len(windows[i]), len(items[i])))
     at = 0
     while at < len(order):
-        width, part = 0, []
-        while at < len(order) and (not part or max(width, len(items[order[at]])) * (len(part) + 1) <= cells):
+        width, part, most = 0, [], 2 * len(windows[order[at]]) + 64
+        while at < len(order) and (not part or max(width, len(items[order[at]])) * (len(part) + 1) <= cells and len(windows[order[at]]) <= most):
             width = max(width, len(items[order[at]]))
             part.append(order[at])
             at += 1
         item = np.full((len(part), width), -3, np.int32)
-        doc = np.full((max(len(windows[i]) for i in part), len(part)), -2, np.int32)
         for k, i in enumerate(part):
             item[k, : len(items[i])] = items[i]
-            doc[: len(windows[i]), k] = windows[i]
-        doc[doc == -1] = -2
         h = np.zeros((len(part), width + 1), np.int32)
         run = np.zeros((len(part), width + 1), np.int32)
         ramp = -GAP * np.arange(width + 1, dtype=np.int32)
         top, far = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
-        for w in doc:
+        for w in _laid_out([windows[i] for i in part], cells):
             equal = item == w[:, None]
             new = np.zeros_like(h)
             np.maximum(h[:, :-1] + np.where(equal, MATCH, MISMATCH), h[:, 1:] + GAP, out=new[:, 1:])
@@ -174,10 +186,15 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: i
     spark = documents.sparkSession
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     tests = items.filter("id is not null and description is not null").groupBy("id").agg(F.min("description").alias("text"))
+    contents = tests.groupBy("text").agg(F.min("id").alias("task"), F.count(F.lit(1)).alias("n"))
     out = spark.createDataFrame([], "doc_id long, task_id string, longest_run int, score int, covered double")
-    for block in _blocks(tests.select(F.col("id").alias("task"), "text").orderBy("task"), block_words):
+    for block in _blocks(contents.select("task", "text").orderBy("task"), block_words):
         out = out.union(_leaks_of(docs, block, run))
-    return out
+    copied = contents.filter("n > 1").select("task", "text")
+    if copied.limit(1).count() == 0:
+        return out
+    names = tests.join(copied, "text").select(F.col("task").alias("task_id"), "id")
+    return out.join(small(names), "task_id", "left").withColumn("task_id", F.coalesce("id", "task_id")).select(out.columns)
 
 
 def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
@@ -210,6 +227,19 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b, seeds_of = shared.value, seed_sets.value
+
+        def rated(pairs: list, windows: list, of_pair: list) -> pd.DataFrame:
+            longest, best = align(windows, [b.ids[pairs[k][1]] for k in of_pair])
+            runs, scores = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)
+            np.maximum.at(runs, of_pair, longest)
+            np.maximum.at(scores, of_pair, best)
+            rows = [
+                (doc_id, b.tasks[t], int(r), int(s), s / (1.0 * MATCH * len(b.ids[t])))
+                for (doc_id, t), r, s in zip(pairs, runs, scores, strict=True)
+                if s >= MATCH * run
+            ]
+            return pd.DataFrame(rows, columns=["doc_id", "task_id", "longest_run", "score", "covered"])
+
         for batch in batches:
             pairs, windows, of_pair = [], [], []
             for doc_id, text, tasks in zip(batch["doc_id"], batch["text"], batch["tasks"], strict=True):
@@ -220,16 +250,10 @@ def _leaks_of(docs: DataFrame, block: Block, run: int) -> DataFrame:
                         windows.append(ids[lo:hi])
                         of_pair.append(len(pairs))
                     pairs.append((doc_id, t))
-            longest, best = align(windows, [b.ids[pairs[k][1]] for k in of_pair])
-            runs, scores = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)
-            np.maximum.at(runs, of_pair, longest)
-            np.maximum.at(scores, of_pair, best)
-            rows = [
-                (doc_id, b.tasks[t], int(r), int(s), s / (1.0 * MATCH * len(b.ids[t])))
-                for (doc_id, t), r, s in zip(pairs, runs, scores, strict=True)
-                if s >= MATCH * run
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "task_id", "longest_run", "score", "covered"])
+                    if len(windows) >= WINDOWS:
+                        yield rated(pairs, windows, of_pair)
+                        pairs, windows, of_pair = [], [], []
+            yield rated(pairs, windows, of_pair)
 
     texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
     rows = texts.select("doc_id", "text", "tasks").mapInPandas(score, "doc_id long, task_id string, longest_run int, score int, covered double")
@@ -257,6 +281,6 @@ def report(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def sources(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Per source: documents that hold a run of any test item."""
-    bad = found(documents, items).select("doc_id").distinct()
+    bad = cut(found(documents, items).select("doc_id").distinct())  # counted and joined below
     rows = documents.filter("doc_id is not null").select("doc_id", "source").distinct()
     return rows.join(small(bad.withColumn("leaked", F.lit(1))), "doc_id", "left").groupBy("source").agg(F.count("leaked").alias("leaked"))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -87,6 +88,37 @@ def test_alignment():
         assert longest.tolist() == [3, 0] and score.tolist() == [11, 0]
 
 
+def test_a_long_window_does_not_widen_the_others():
+    """2,000 short windows beside one of 20,000 words: the matrix of all would have 4e7 cells."""
+    rng = np.random.default_rng(2)
+    item = np.arange(20)
+    windows = [rng.integers(0, 20, 30) for _ in range(2000)] + [np.concatenate([np.full(9_000, -1), item, np.full(10_980, -1)])]
+    tracemalloc.start()
+    longest, score = leaks.align(windows, [item] * len(windows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (longest[-1], score[-1]) == (20, 40) and peak < 50e6
+    few, _ = leaks.align(windows[:2000], [item] * 2000, 1)
+    assert few.tolist() == longest[:2000].tolist()
+
+
+def test_equal_items_are_each_found(spark, docs):
+    """Every id of a text that stands more than once, and the same documents as for one id."""
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(50)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        words = texts[i % 4].split()
+        for at in range(i % 8, 50, 8):
+            words[at] = "edited"
+        rows.append((i, " ".join(words), "s"))
+    tests = [(f"t{k}{c}", text) for k, text in enumerate(texts) for c in "abc"[: 1 + k]]
+    once = {(r.doc_id, r.task_id) for r in leaks.leaks(docs(rows), spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "id string, description string")).collect()}
+    got = [(r.doc_id, r.task_id) for r in leaks.leaks(docs(rows), spark.createDataFrame(tests, "id string, description string")).collect()]
+    assert len(once) == 40 and sorted(got) == sorted((i, t) for i, k in once for t, _ in tests if t[:2] == k)
+
+
 # --- packing
 
 HAVE = os.path.exists(packing.VOCABULARY)
